@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkrank.llm import bpe, decontaminate, sharding, token_counts
+from linkrank.llm import bpe, decontaminate, html_extract, line_frequency, sharding, token_counts
 from linkrank.llm.common import read_table
 
 #: Shards that op9 fills.
@@ -20,6 +20,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_frequency.judge(read_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -28,6 +33,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(read_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(read_table(spark, sf_dir, "documents"), SHARDS)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
@@ -39,7 +48,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op5_token_counts, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op2_line_frequency, op3_bpe, op5_token_counts, op8_html_extraction, op9_sharding, op10_decontamination)}
 
 
 #: Words of op10 as a list, for a text column.
@@ -62,5 +71,28 @@ FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+     raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+     keyed AS (SELECT doc_id, source, i, line, trim(regexp_replace(regexp_replace(lower(line), '\p{N}', '0', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS k,
+                      len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM raw),
+     near AS (SELECT *, lag(k) OVER w AS kb, lead(k) OVER w AS ka FROM keyed WHERE k <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+     freq AS (SELECT source, k FROM near GROUP BY source, k
+              HAVING count(DISTINCT doc_id) >= 10 AND count(DISTINCT (coalesce(kb, ''), coalesce(ka, ''))) * 100 >= count(DISTINCT doc_id) * 50),
+     gone AS (SELECT doc_id, sum(words) AS w FROM near SEMI JOIN freq ON near.source = freq.source AND near.k = freq.k GROUP BY doc_id),
+     ws AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+     win AS (SELECT doc_id, p, array_to_string(ws[p:p + 7], chr(10)) AS w FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS p FROM ws WHERE len(ws) >= 8)),
+     rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w) AS c FROM win) WHERE c > 1),
+     nrep AS (SELECT doc_id, count(DISTINCT q) AS r FROM (SELECT doc_id, unnest(generate_series(p, p + 7)) AS q FROM rep) GROUP BY doc_id),
+     lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+     base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                     CAST(length(array_to_string(ws, '')) - length(regexp_replace(array_to_string(ws, ''), '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                     CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(w, 0) AS BIGINT) AS n_removed_words
+              FROM ws LEFT JOIN lines USING (doc_id) LEFT JOIN nrep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+     failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < 10 OR (n_words - n_removed_words) * 100 < n_words * 30)) AS kept FROM failed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10_SQL}
+    return {"op2_line_frequency": OP2_SQL, "op10_decontamination": OP10_SQL}
