@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkrank.llm import bpe, decontaminate, html_extract, line_frequency, sharding, token_counts
-from linkrank.llm.common import read_table
+from linkrank.llm import bpe, decontaminate, html_extract, language_id, line_frequency, sharding, token_counts
+from linkrank.llm.common import keyed_modulo, read_table
 
 #: Shards that op9 fills.
 SHARDS = 8
@@ -20,6 +20,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(language_id.training_rows(docs)))
+    return found.select("doc_id", (keyed_modulo("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_frequency.judge(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
@@ -48,7 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_frequency, op3_bpe, op5_token_counts, op8_html_extraction, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_frequency, op3_bpe, op5_token_counts, op8_html_extraction, op9_sharding, op10_decontamination)}
 
 
 #: Words of op10 as a list, for a text column.
