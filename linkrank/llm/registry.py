@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkrank.llm import bpe, decontaminate, html_extract, language_id, line_frequency, sharding, token_counts
+from linkrank.llm import bpe, decontaminate, html_extract, language_id, line_frequency, mil_quality, sharding, token_counts
 from linkrank.llm.common import keyed_modulo, read_table
 
 #: Shards that op9 fills.
@@ -39,6 +39,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(read_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = mil_quality.score_documents(docs, mil_quality.train(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (keyed_modulo("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= mil_quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -54,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_frequency, op3_bpe, op5_token_counts, op8_html_extraction, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_frequency, op3_bpe, op5_token_counts, op7_attention_quality, op8_html_extraction, op9_sharding, op10_decontamination)}
 
 
 #: Words of op10 as a list, for a text column.
