@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkrank.llm import bpe, decontaminate, html_extract, language_id, line_frequency, mil_quality, sharding, token_counts
+from linkrank.llm import bpe, decontaminate, html_extract, language_id, line_frequency, mil_quality, pseudonyms, sharding, token_counts
 from linkrank.llm.common import keyed_modulo, read_table
 
 #: Shards that op9 fills.
 SHARDS = 8
 
 
+#: Key of op4's permutations; a real run is given a secret one.
+PII_KEY = "change-me"
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -35,6 +39,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pseudonyms.pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), PII_KEY, found="n_found")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(read_table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -60,7 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_frequency, op3_bpe, op5_token_counts, op7_attention_quality, op8_html_extraction, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_frequency, op3_bpe, op4_pseudonyms, op5_token_counts, op7_attention_quality, op8_html_extraction, op9_sharding, op10_decontamination)}
 
 
 #: Words of op10 as a list, for a text column.
