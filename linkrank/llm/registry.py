@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkrank.llm import bpe, decontaminate, html_extract, language_id, line_frequency, mil_quality, pseudonyms, sharding, token_counts
+from linkrank.llm import bpe, decontaminate, html_extract, language_id, line_frequency, mil_quality, near_dedup, pseudonyms, sharding, token_counts
 from linkrank.llm.common import keyed_modulo, read_table
 
 #: Shards that op9 fills.
@@ -48,6 +48,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(read_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_components(read_table(spark, sf_dir, "documents"))
+
+
 def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = mil_quality.score_documents(docs, mil_quality.train(docs, read_table(spark, sf_dir, "labels")))
@@ -69,7 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_frequency, op3_bpe, op4_pseudonyms, op5_token_counts, op7_attention_quality, op8_html_extraction, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_frequency, op3_bpe, op4_pseudonyms, op5_token_counts, op6_near_dedup, op7_attention_quality, op8_html_extraction, op9_sharding, op10_decontamination)}
 
 
 #: Words of op10 as a list, for a text column.
@@ -115,5 +119,19 @@ SELECT *, NOT base_failed AND NOT (n_removed_words > 0 AND (n_words - n_removed_
 """
 
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(ws[p:p + 4], ' ')) AS h
+           FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS p FROM d WHERE len(ws) > 0)),
+     n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL),
+     link AS MATERIALIZED (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+     reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+     comp AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.a = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency": OP2_SQL, "op10_decontamination": OP10_SQL}
+    return {"op6_near_dedup": OP6_SQL, "op2_line_frequency": OP2_SQL, "op10_decontamination": OP10_SQL}
