@@ -133,18 +133,23 @@ def removed_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return flagged.join(cold, ["host", "k"], "left").where("hot or cold").select("row", "h", "words")
 
 
-def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The columns of :func:`with_base`, n_removed_words and kept for every row; other columns than doc_id are not passed on."""
+def verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(doc_id, row), the columns of :func:`with_base`, n_removed_words, removed (hashes of the removed lines) and kept, for every row."""
     removed = removed_lines(docs, limits)
     # equal rows have equal lines: one of them counts
     copies = docs.groupBy(row_key().alias("row")).agg(F.count("*").alias("copies")).where("copies > 1")
-    removed = removed.groupBy("row").agg(F.sum("words").alias("w"), F.count("*").alias("n"))
+    removed = removed.groupBy("row").agg(F.sum("words").alias("w"), F.collect_set("h").alias("removed")).join(copies, "row", "left")
+    removed = removed.select("row", (F.col("w") / F.coalesce("copies", F.lit(1))).cast("long").alias("n_removed_words"), "removed")
     base = with_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row")), limits).drop("text")
-    out = base.join(removed.join(copies, "row", "left").select("row", (F.col("w") / F.coalesce("copies", F.lit(1))).cast("long").alias("n_removed_words")), "row", "left").drop("row")
-    out = out.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    out = base.join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted(F.col("n_words"), F.col("n_removed_words"), limits))
 
 
+def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """doc_id, the columns of :func:`with_base`, n_removed_words and kept for every row."""
+    return verdicts(docs, limits).drop("row", "removed")
+
+
 def depleted(words: Column, removed: Column, limits: Limits) -> Column:
     left = words - removed
     return (removed > 0) & ((left < limits.min_left_words) | (left * 100 < words * limits.min_left_percent))
@@ -153,14 +158,11 @@ def depleted(words: Column, removed: Column, limits: Limits) -> Column:
 def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` that pass, without their frequent lines; the columns stay, n_chars follows the text if it is there."""
     names = docs.columns
-    removed = removed_lines(docs, limits).groupBy("row").agg(F.collect_set("h").alias("_hashes"))
-    out = docs.withColumn("row", row_key()).join(removed, "row", "left").drop("row")
-    kept_line = lambda x: ~F.coalesce(F.array_contains("_hashes", F.xxhash64(line_key(x))), F.lit(False))
+    # written first: Spark would push the filter into the expressions of the rules and evaluate them many times
+    passed = verdicts(docs, limits).select("row", "removed", "kept").checkpoint().where("kept").select("row", F.col("removed").alias("_removed")).dropDuplicates(["row"])
+    out = docs.withColumn("row", row_key()).join(passed, "row")
+    kept_line = lambda x: ~F.array_contains("_removed", F.xxhash64(line_key(x)))
     left = F.array_join(F.filter(F.split("text", "\n"), kept_line), "\n")
-    out = out.withColumn("_left", F.when(F.col("_hashes").isNull(), F.col("text")).otherwise(left))
-    out = with_base(out, limits).where(~F.col("base_failed"))
-    out = out.withColumn("_removed", F.when(F.col("_hashes").isNull(), F.lit(0)).otherwise(F.col("n_words") - F.size(words_of(F.col("_left")))))
-    out = out.where(~depleted(F.col("n_words"), F.col("_removed"), limits)).withColumn("text", F.col("_left"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*names)
+    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left)
+    out = out.select(*[text.alias(c) if c == "text" else F.col(c) for c in names])
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else out
