@@ -15,7 +15,7 @@ MASK = 0xFFFFFFFF
 def _units(text: Column) -> Column:
     """UTF-16 code units of a text."""
     raw = F.hex(F.encode(text, "UTF-16BE"))
-    return F.when(raw == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.char_length(raw) / 4 - 1), lambda i: F.conv(F.substr(raw, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("long")))
+    return F.when(raw == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), (F.char_length(raw) / 4).cast("int") - 1), lambda i: F.conv(F.substr(raw, i * 4 + 1, F.lit(4)), 16, 10).cast("long")))
 
 
 def _lane(units: Column, seed: int, by: int) -> Column:
