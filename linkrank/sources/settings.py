@@ -12,6 +12,7 @@ WHOLE_NUMBERS = {"backgroundEmbeddingBatchLimit": (4, 4, 16), "debounceMs": (350
 SHARES = {"minimumConfidence": (0.55, 0.0, 1.0)}
 CHOICES = {"linkPathMode": ("shortest", "absolute", "relative")}
 LISTS = ("excludedFolders", "excludedFiles", "excludedTags", "excludedProperties")
+FLAG, OLD_NAMES = "semanticIndexingEnabled", ("semanticMatchingEnabled", "enableSemanticSearch")
 THREAD_COUNTS = (0, 1, 2, 4)
 AUTOMATIC = {"semanticThreadMode": "automatic", "semanticThreadCount": 0, "semanticThreadModelRevision": "", "semanticThreadRuntimeVersion": "", "semanticThreadDeviceClass": "unknown"}
 
@@ -38,6 +39,7 @@ def load(raw: object) -> tuple[dict, bool]:
     """Settings from any stored value, and whether they differ from it and should be saved. Newer versions are read but not saved."""
     source = raw if isinstance(raw, dict) else {}
     out: dict = {"settingsVersion": VERSION}
+    source = source | {FLAG: next((source[k] for k in (FLAG, *OLD_NAMES) if isinstance(source.get(k), bool)), None)}
     out |= {k: source[k] if isinstance(source.get(k), bool) else v for k, v in FLAGS.items()}
     if not isinstance(source.get("semanticModelEnabled"), bool):
         out["semanticModelEnabled"] = True
@@ -47,8 +49,8 @@ def load(raw: object) -> tuple[dict, bool]:
     out |= {k: _number(source.get(k), *of) for k, of in SHARES.items()}
     out |= {k: _texts(source.get(k)) for k in LISTS}
     out["excludedTags"] = list(dict.fromkeys(t for x in out["excludedTags"] if (t := x.lstrip("#").strip().lower())))
-    out["excludedProperties"] = list(dict.fromkeys("=".join(p.strip() for p in x.split("=", 1)) for x in out["excludedProperties"]))
+    out["excludedProperties"] = list(dict.fromkeys(x.lower() for x in out["excludedProperties"]))
     out |= {k: source.get(k) if source.get(k) in options else options[0] for k, options in CHOICES.items()}
     version = source.get("settingsVersion")
     current = isinstance(version, int) and version > VERSION
-    return out, raw is not None and not current and source != out
+    return out, raw is not None and not current and raw != out
