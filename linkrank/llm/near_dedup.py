@@ -11,8 +11,8 @@ Comparisons run in two rounds, so that a large group of copies costs no more tha
 
 1. Every member of a node is paired with the node's pivot. The best pair of each class by signature is confirmed on the
    full sets, and components are found from these links.
-2. Nodes whose members are all in one component need no more work. In the others, all pairs of members of different
-   components whose signatures agree enough are confirmed. Nodes that are still large at the last depth are compared in
+2. Nodes whose members are all in one component need no more work. In the others, members of different components
+   whose signatures agree enough are compared on the full sets, inside the task that holds the node. Nodes that are still large at the last depth are compared in
    blocks: members outside the node's main component against everything, block by block, never in one task.
 
 A signature agreement below ``AGREE`` of ``WIDTH`` coordinates rejects a pair unseen; for a linked pair this happens with
@@ -171,12 +171,17 @@ def _sizes_fit(n1: Column, n2: Column) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of some documents; the ids are broadcast if they are counted to be few, else joined by a shuffle."""
+    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose documents are linked, found on the shingles of their whole texts."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = _texts(docs, ids)
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
     def build():
@@ -221,36 +226,82 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("rep"), F.col("b").alias("comp")).unionByName(roots).distinct()
 
 
-def rest_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a node and whose signatures agree enough."""
+def rest_links(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components that meet in a node; as many as are needed to connect what is linked.
+
+    First the signatures of a node tell which members have a possible partner in another component; a pair that meets in
+    several nodes counts in the one of the smallest path only. Then the texts of these members come together and are
+    compared on their full sets. Both steps give at most one row for each member of a node; pairs stay inside.
+    """
     info = classes.join(comps, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
     tagged = members.join(info, "rep")
     mixed = tagged.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("path")
     tagged = tagged.join(mixed, "path").select("path", "rep", "n", "comp").checkpoint()
     leaves = tagged.where(F.col("n") <= LEAF).select("path", F.lit("").alias("block"), F.lit(True).alias("outer"), "rep", "comp")
     blocks = _blocks(tagged.where(F.col("n") > LEAF))
-    every = (leaves if blocks is None else leaves.unionByName(blocks)).join(classes.select("rep", "n_shingles", "sig"), "rep")
-    row = F.struct("rep", "comp", "outer", "n_shingles", F.expr("sig").alias("sig"))
-    groups = every.groupBy("path", "block").agg(F.collect_list(row).alias("rows")).select("rows")
-
-    def build():
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = [], []
-            for rows in batch.column(0).to_pylist():
-                rep, comp, n = (np.array([r[k] for r in rows], np.int64) for k in ("rep", "comp", "n_shingles"))
-                outer = np.array([r["outer"] for r in rows])
-                sig = np.frombuffer(b"".join([r["sig"] for r in rows]), np.uint32).reshape(len(rows), WIDTH)
-                for i in np.flatnonzero(outer).tolist():
-                    fit = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT)
-                    at = np.flatnonzero(fit)
-                    at = at[(sig[at] == sig[i]).sum(axis=1) >= AGREE]
-                    a.extend([int(rep[i])] * len(at))
-                    b.extend(rep[at].tolist())
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        return apply
-
-    return map_arrow(groups, build, "a long, b long", rows=64).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    meeting = leaves if blocks is None else leaves.unionByName(blocks)
+    sketch = classes.select("rep", "n_shingles", "sig").join(tagged.groupBy("rep").agg(F.collect_set("path").alias("paths")), "rep")
+    row = F.struct("rep", "comp", "outer", "n_shingles", "sig", "paths")
+    groups = meeting.join(sketch, "rep").groupBy("path", "block").agg(F.collect_list(row).alias("rows"))
+    possible = map_arrow(groups.select("path", "block", "rows"), lambda: _possible, "path long, block string, rep long, comp long", rows=64).checkpoint()
+    ids = possible.select(F.col("rep").alias("doc_id")).distinct()
+    texts = _texts(docs, ids).select(F.col("doc_id").alias("rep"), "text")
+    together = possible.join(texts, "rep").groupBy("path", "block").agg(F.collect_list(F.struct("rep", "comp", "text")).alias("rows"))
+    return map_arrow(together.select("rows"), lambda: _compare, "a long, b long", rows=8).distinct().checkpoint()
+
+
+def _possible(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Members of nodes that have a possible partner: (path, block, rep, comp)."""
+    out: list[tuple[int, str, int, int]] = []
+    for path, block, rows in zip(*(c.to_pylist() for c in batch.columns)):
+        rep, comp, n = (np.array([r[k] for r in rows], np.int64) for k in ("rep", "comp", "n_shingles"))
+        outer = np.array([r["outer"] for r in rows])
+        sig = np.frombuffer(b"".join([r["sig"] for r in rows]), np.uint32).reshape(len(rows), WIDTH)
+        paths = [frozenset(r["paths"]) for r in rows]
+        found = np.zeros(len(rows), bool)
+        for i in np.flatnonzero(outer).tolist():
+            fit = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT)
+            if block.startswith("m"):
+                fit &= ~outer
+            at = np.flatnonzero(fit)
+            for j in at[(sig[at] == sig[i]).sum(axis=1) >= AGREE].tolist():
+                if not (found[i] and found[j]) and min(paths[i] & paths[j]) == path:
+                    found[i] = found[j] = True
+        out.extend((path, block, int(rep[i]), int(comp[i])) for i in np.flatnonzero(found))
+    path, block, rep, comp = zip(*out) if out else ((), (), (), ())
+    return pa.record_batch([pa.array(path, pa.int64()), pa.array(block, pa.string()), pa.array(rep, pa.int64()), pa.array(comp, pa.int64())], ["path", "block", "rep", "comp"])
+
+
+def _compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """All members of a node against each other, on their full sets: a spanning forest of the links between components."""
+    a, b = [], []
+    for rows in batch.column(0).to_pylist():
+        sets = shingle_sets([r["text"] for r in rows])
+        comp = [r["comp"] for r in rows]
+        root = {c: c for c in comp}
+
+        def find(c: int, root=root) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        sizes = np.array([len(x) for x in sets])
+        first = np.cumsum(sizes) - sizes
+        _, place = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(int(place.max()) + 1, np.int64)
+        for i in range(len(rows) - 1):
+            own = place[first[i] : first[i] + sizes[i]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[place], first)[i + 1 :]
+            mark[own] = 0
+            for j in (np.flatnonzero(100 * common >= PERCENT * (sizes[i] + sizes[i + 1 :] - common)) + i + 1).tolist():
+                x, y = find(comp[i]), find(comp[j])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(rows[i]["rep"])
+                    b.append(rows[j]["rep"])
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _blocks(tagged: DataFrame) -> DataFrame | None:
@@ -282,7 +333,7 @@ def find_components(docs: DataFrame) -> DataFrame:
     pairs, members = build_nodes(classes.select("rep", "sig"))
     links = confirm(best_pairs(pairs, classes), docs)
     comps = components(links)
-    more = confirm(rest_pairs(members, classes, comps), docs)
+    more = rest_links(members, classes, comps, docs)
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     merged = classes.join(comps, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("comp"))

@@ -10,10 +10,11 @@ VERSION = 5
 FLAGS = {"automaticSuggestions": True, "lexicalMatchingEnabled": True, "semanticIndexingEnabled": False, "semanticModelEnabled": False, "semanticModelInstalled": False}
 WHOLE_NUMBERS = {"backgroundEmbeddingBatchLimit": (4, 4, 16), "debounceMs": (350, 100, 2000), "maxSuggestions": (6, 1, 20)}
 SHARES = {"minimumConfidence": (0.55, 0.0, 1.0)}
-CHOICES = {"linkPathMode": ("shortest", "absolute", "relative")}
+CHOICES = {"linkPathMode": ("shortest", "full")}
 LISTS = ("excludedFolders", "excludedFiles", "excludedTags", "excludedProperties")
 FLAG, OLD_NAMES = "semanticIndexingEnabled", ("semanticMatchingEnabled", "enableSemanticSearch")
 THREAD_COUNTS = (0, 1, 2, 4)
+DEVICE_CLASSES = ("unknown", "1-2", "3-4", "5-8", "9+")
 AUTOMATIC = {"semanticThreadMode": "automatic", "semanticThreadCount": 0, "semanticThreadModelRevision": "", "semanticThreadRuntimeVersion": "", "semanticThreadDeviceClass": "unknown"}
 
 
@@ -31,7 +32,7 @@ def _threads(raw: dict) -> dict:
     """A tuned profile counts only if it is complete."""
     own = {k: raw.get(k) for k in AUTOMATIC}
     named = all(isinstance(own[k], str) and own[k] for k in ("semanticThreadModelRevision", "semanticThreadRuntimeVersion", "semanticThreadDeviceClass"))
-    sound = own["semanticThreadMode"] == "tuned" and own["semanticThreadCount"] in THREAD_COUNTS[1:] and named and own["semanticThreadDeviceClass"] != "unknown"
+    sound = own["semanticThreadMode"] == "tuned" and own["semanticThreadCount"] in THREAD_COUNTS[1:] and named and own["semanticThreadDeviceClass"] in DEVICE_CLASSES[1:]
     return own if sound else dict(AUTOMATIC)
 
 
