@@ -57,7 +57,7 @@ def postings(notes: DataFrame, only: DataFrame | None = None) -> DataFrame:
     labels = F.array_union(F.array_union(F.array_distinct("own_title_terms"), F.col("alias_terms")), F.array_union(F.col("heading_terms"), F.col("tag_terms")))
     body = F.transform(F.slice(T.tokens(F.col("body")), 1, T.MAX_BODY_TOKENS), lambda t: F.struct(t.alias("term"), F.lit(1).alias("n")))
     other = F.transform(labels, lambda t: F.struct(t.alias("term"), F.lit(0).alias("n")))
-    flat = fields.select("path", F.explode(F.concat(body, other)).alias("x")).select("path", "x.term", "x.n")
+    flat = fields.select("path", F.explode_outer(F.concat(body, other)).alias("x")).select("path", "x.term", "x.n").where("term is not null")
     if only is not None:
         flat = flat.join(only, "term", "left_semi")
     return flat.groupBy("term", "path").agg(F.sum("n").alias("tf"))
@@ -85,7 +85,8 @@ def labels_of(index: DataFrame) -> DataFrame:
     title = F.array(F.struct(F.lit("title").alias("field"), F.lit(0).alias("pos"), F.col("title").alias("text"), F.col("n_title").alias("norm")))
     alias = F.transform("n_aliases", lambda a, i: F.struct(F.lit("alias").alias("field"), i.alias("pos"), a.alias("text"), a.alias("norm")))
     heading = F.transform("headings", lambda h, i: F.struct(F.lit("heading").alias("field"), i.alias("pos"), h["text"].alias("text"), h["norm"].alias("norm")))
-    return index.select("path", F.explode(F.concat(title, alias, heading)).alias("x")).select("path", "x.*")
+    # an outer explode, since for an inner one Spark evaluates the array once more in a filter below it
+    return index.select("path", F.explode_outer(F.concat(title, alias, heading)).alias("x")).select("path", "x.*")
 
 
 def gram_candidates(labels: DataFrame, queries: DataFrame) -> DataFrame:

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from linkrank.functions import text as T
 
 
+#: Tables of texts, on which most of the work of a query is done row by row.
+TEXTS = ("documents", "pages")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One task reads a row group, so a table in fewer files than there are cores is dealt out; larger ones never are."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if name in TEXTS and len(table.inputFiles()) < cores else table
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
