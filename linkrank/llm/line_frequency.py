@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency, in DataFrame functions alone.
 
-Lines are normalised (lower case, digits to 0, everything but letters and digits to one space) and hashed. For each host
+Lines are normalised (lower case, digits to 0, without ASCII punctuation and white space) and hashed. For each host
 and line the distinct documents are counted. A line above the limits is boilerplate and is removed; a document that is
-left with too small a share of its words, or too few of them, is depleted and rejected. Texts that fail the base rules
+left with too small a share of its word characters, or too few of them, is depleted and rejected. Texts that fail the base rules
 are rejected as well.
 
 What counts as a distinct document: copies of one document would make all its lines frequent, and the copies would be
@@ -21,6 +21,7 @@ rows are each judged and count once for each row; a document without frequent li
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,12 +37,12 @@ HOT_LINES = 1000
 
 @dataclass(frozen=True)
 class Limits:
-    """Limits of the rules. The words of a document have to be left by ``min_left_percent`` and ``min_left_words``."""
+    """Limits of the rules. So many of a document's word characters have to be left."""
 
     min_documents: int = 10
     min_context_percent: int = 50
     min_left_percent: int = 30
-    min_left_words: int = 10
+    min_left_chars: int = 50
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
@@ -54,23 +55,31 @@ def words_of(text: Column) -> Column:
 def with_base(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to rows with a text; null counts as empty.
 
-    Repeated words: all windows of the text are hashed; hashes with their positions are sorted, so equal ones become
+    Repeated words: all windows of the text are hashed (``window`` is a power of two); hashes with their positions are sorted, so equal ones become
     neighbours; the start positions of windows with an equal neighbour, in order, tell the words that they cover. This
     is done for texts that have equal windows only.
     """
     kept, window = docs.columns, limits.window
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     step = docs.select(*kept, t.alias("_t"), F.translate(t, SEPARATORS, "").alias("_bare"), words_of(t).alias("_w"), F.filter(F.split(t, "\n"), lambda x: F.translate(x, SEPARATORS, "") != "").alias("_l"))
-    hashes = F.when(F.size("_w") <= window, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size("_w") - (window - 1)), lambda i: F.xxhash64(F.slice("_w", i, window))))
     step = step.select(
         *kept,
         F.size("_w").cast("long").alias("n_words"),
         F.char_length("_bare").cast("long").alias("word_chars"),
         (F.char_length("_bare") - F.char_length(F.translate("_bare", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        hashes.alias("_h"),
+        F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
     )
     names = [c for c in step.columns if c != "_h"]
+    # hashes of 1, 2, 4, ... words: the hash of a run is that of its halves; a text without equal halves has no equal windows
+    span = 1
+    while span < window:
+        last = span * 2 == window
+        pairs = F.transform("_h", lambda h, i: F.xxhash64(h, F.get("_h", i + span)))
+        if last:
+            pairs = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.slice(pairs, 1, F.greatest(F.col("n_words") - (window - 1), F.lit(0)).cast("int"))).otherwise(F.array().cast("array<bigint>"))
+        step = step.select(*names, pairs.alias("_h"))
+        span *= 2
     placed = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     step = step.select(*names, placed.alias("_p"))
     equal = F.filter("_p", lambda x, k: F.coalesce((k > 0) & (F.get("_p", k - 1)["h"] == x["h"]), F.lit(False)) | F.coalesce(F.get("_p", k + 1)["h"] == x["h"], F.lit(False)))
@@ -81,9 +90,9 @@ def with_base(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return step.withColumn("base_failed", failed)
 
 
-def line_key(line: Column) -> Column:
-    """The normalised line: lower case, digits as 0, runs of anything else than letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "\\p{N}", "0"), "[^\\p{L}\\p{N}]+", " "))
+def line_keys(text: Column) -> Column:
+    """The normalised lines of a text: lower case, digits as 0, without ASCII punctuation and white space."""
+    return F.split(F.translate(F.lower(text), string.digits + string.punctuation + SEPARATORS.replace("\n", ""), "0" * 10), "\n")
 
 
 def row_key() -> Column:
@@ -93,23 +102,22 @@ def row_key() -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(host, h, row, words, context, first) for each line with a normalised form of each row.
+    """(host, h, row, chars, context, first) for each line with a normalised form of each row.
 
     h is the hash of the line, context that of its neighbours, first says that it is the line's first occurrence in its
     row, and row identifies rows with equal id, host and text.
     """
     host = F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
-    raw = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    step = docs.select(host.alias("host"), row_key().alias("row"), F.transform(raw, lambda x: F.struct(line_key(x).alias("k"), F.size(words_of(x)).alias("words"))).alias("l"))
-    step = step.select("host", "row", F.transform(F.filter("l", lambda x: x["k"] != ""), lambda x: F.struct(F.xxhash64(x["k"]).alias("h"), x["words"].alias("words"))).alias("l"))
+    step = docs.select(host.alias("host"), row_key().alias("row"), line_keys(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("k"))
+    step = step.select("host", "row", F.transform(F.filter("k", lambda k: k != ""), lambda k: F.struct(F.xxhash64(k).alias("h"), F.char_length(k).alias("chars"))).alias("l"))
     near = lambda at: F.coalesce(F.get("l", at)["h"], F.lit(0).cast("long"))
-    placed = F.array_sort(F.transform("l", lambda x, i: F.struct(x["h"].alias("h"), i.alias("i"), x["words"].alias("words"), F.xxhash64(near(i - 1), near(i + 1)).alias("context"))))
+    placed = F.array_sort(F.transform("l", lambda x, i: F.struct(x["h"].alias("h"), i.alias("i"), x["chars"].alias("chars"), F.xxhash64(near(i - 1), near(i + 1)).alias("context"))))
     first = lambda x, k: F.coalesce((k == 0) | (F.get("l", k - 1)["h"] != x["h"]), F.lit(True))
     step = step.select("host", "row", placed.alias("l"))
-    step = step.select("host", "row", F.transform("l", lambda x, k: F.struct(x["h"].alias("h"), x["words"].alias("words"), x["context"].alias("context"), first(x, k).alias("first"))).alias("l"))
+    step = step.select("host", "row", F.transform("l", lambda x, k: F.struct(x["h"].alias("h"), x["chars"].alias("chars"), x["context"].alias("context"), first(x, k).alias("first"))).alias("l"))
     # an outer explode: for an inner one, Spark would evaluate the array once more, in a filter, for every element it names
     step = step.select("host", "row", F.explode_outer("l").alias("x")).where(F.col("x").isNotNull())
-    return step.select("host", "x.h", "row", "x.words", "x.context", "x.first")
+    return step.select("host", "x.h", "row", "x.chars", "x.context", "x.first")
 
 
 def frequent_lines(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -122,37 +130,37 @@ def frequent_lines(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(row, h, words) for each occurrence of a frequent line."""
+    """(row, h, chars) for each occurrence of a frequent line."""
     ensure_checkpoint_dir(docs.sparkSession)
     lines = lines_of(docs)
     frequent = frequent_lines(lines, limits).checkpoint()
     hot = F.broadcast(frequent.orderBy(F.col("n").desc(), "host", "h").limit(HOT_LINES).select("host", "h", F.lit(True).alias("hot")))
     cold = frequent.join(hot, ["host", "h"], "left_anti").select("host", F.col("h").alias("k"), F.lit(True).alias("cold"))
-    flagged = lines.select("host", "h", "row", "words").join(hot, ["host", "h"], "left")
+    flagged = lines.select("host", "h", "row", "chars").join(hot, ["host", "h"], "left")
     flagged = flagged.withColumn("k", F.when(F.col("hot"), F.xxhash64("row", "h")).otherwise(F.col("h")))
-    return flagged.join(cold, ["host", "k"], "left").where("hot or cold").select("row", "h", "words")
+    return flagged.join(cold, ["host", "k"], "left").where("hot or cold").select("row", "h", "chars")
 
 
 def verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(doc_id, row), the columns of :func:`with_base`, n_removed_words, removed (hashes of the removed lines) and kept, for every row."""
+    """(doc_id, row), the columns of :func:`with_base`, removed_chars, removed (hashes of the removed lines) and kept, for every row."""
     removed = removed_lines(docs, limits)
     # equal rows have equal lines: one of them counts
     copies = docs.groupBy(row_key().alias("row")).agg(F.count("*").alias("copies")).where("copies > 1")
-    removed = removed.groupBy("row").agg(F.sum("words").alias("w"), F.collect_set("h").alias("removed")).join(copies, "row", "left")
-    removed = removed.select("row", (F.col("w") / F.coalesce("copies", F.lit(1))).cast("long").alias("n_removed_words"), "removed")
+    removed = removed.groupBy("row").agg(F.sum("chars").alias("w"), F.collect_set("h").alias("removed")).join(copies, "row", "left")
+    removed = removed.select("row", (F.col("w") / F.coalesce("copies", F.lit(1))).cast("long").alias("removed_chars"), "removed")
     base = with_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row")), limits).drop("text")
-    out = base.join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted(F.col("n_words"), F.col("n_removed_words"), limits))
+    out = base.join(removed, "row", "left").withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0).cast("long")))
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted(F.col("word_chars"), F.col("removed_chars"), limits))
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """doc_id, the columns of :func:`with_base`, n_removed_words and kept for every row."""
+    """doc_id, the columns of :func:`with_base`, removed_chars and kept for every row."""
     return verdicts(docs, limits).drop("row", "removed")
 
 
-def depleted(words: Column, removed: Column, limits: Limits) -> Column:
-    left = words - removed
-    return (removed > 0) & ((left < limits.min_left_words) | (left * 100 < words * limits.min_left_percent))
+def depleted(chars: Column, removed: Column, limits: Limits) -> Column:
+    left = chars - removed
+    return (removed > 0) & ((left < limits.min_left_chars) | (left * 100 < chars * limits.min_left_percent))
 
 
 def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -161,8 +169,8 @@ def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     # written first: Spark would push the filter into the expressions of the rules and evaluate them many times
     passed = verdicts(docs, limits).select("row", "removed", "kept").checkpoint().where("kept").select("row", F.col("removed").alias("_removed")).dropDuplicates(["row"])
     out = docs.withColumn("row", row_key()).join(passed, "row")
-    kept_line = lambda x: ~F.array_contains("_removed", F.xxhash64(line_key(x)))
-    left = F.array_join(F.filter(F.split("text", "\n"), kept_line), "\n")
+    lines = F.arrays_zip(F.split("text", "\n").alias("line"), line_keys(F.col("text")).alias("k"))
+    left = F.array_join(F.transform(F.filter(lines, lambda x: ~F.array_contains("_removed", F.xxhash64(x["k"]))), lambda x: x["line"]), "\n")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left)
     out = out.select(*[text.alias(c) if c == "text" else F.col(c) for c in names])
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else out
