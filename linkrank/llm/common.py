@@ -13,7 +13,10 @@ MAX_BROADCAST_BYTES = 32 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One task reads a row group, so texts in fewer files than there are cores are dealt out; larger tables never are."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if name in ("documents", "pages") and len(table.inputFiles()) < cores else table
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
