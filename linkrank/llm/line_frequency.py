@@ -167,10 +167,10 @@ def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` that pass, without their frequent lines; the columns stay, n_chars follows the text if it is there."""
     names = docs.columns
     # written first: Spark would push the filter into the expressions of the rules and evaluate them many times
-    passed = verdicts(docs, limits).select("row", "removed", "kept").checkpoint().where("kept").select("row", F.col("removed").alias("_removed")).dropDuplicates(["row"])
-    out = docs.withColumn("row", row_key()).join(passed, "row")
+    passed = verdicts(docs, limits).select("row", "removed", "kept").checkpoint().where("kept").select(F.col("row").alias("__lf_row"), F.col("removed").alias("__lf_removed")).dropDuplicates(["__lf_row"])
+    out = docs.withColumn("__lf_row", row_key()).join(passed, "__lf_row")
     lines = F.arrays_zip(F.split("text", "\n").alias("line"), line_keys(F.col("text")).alias("k"))
-    left = F.array_join(F.transform(F.filter(lines, lambda x: ~F.array_contains("_removed", F.xxhash64(x["k"]))), lambda x: x["line"]), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left)
+    left = F.array_join(F.transform(F.filter(lines, lambda x: ~F.array_contains("__lf_removed", F.xxhash64(x["k"]))), lambda x: x["line"]), "\n")
+    text = F.when(F.col("__lf_removed").isNull(), F.col("text")).otherwise(left)
     out = out.select(*[text.alias(c) if c == "text" else F.col(c) for c in names])
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else out

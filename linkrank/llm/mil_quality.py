@@ -200,7 +200,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
     """(doc_id, text, label) of a bounded sample of the labelled rows that may be learned from: crc32(doc_id) mod 5 is not 0."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (keyed_modulo("doc_id", 5) != 0)).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label"))
     chosen = usable.orderBy(F.crc32(F.concat(F.lit("sample"), F.col("_id").cast("string")).cast("binary")), "_id").limit(TRAIN_DOCUMENTS)
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> AttentionModel:

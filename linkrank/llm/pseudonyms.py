@@ -261,14 +261,14 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | Non
     names = docs.columns
     column = F.col(text).cast("string")
     some = column.rlike("[0-9@]")
-    step = docs.withColumn("_m", F.when(some, F.regexp_extract_all(column, F.lit(f"({CANDIDATES.replace(chr(92) + '1', chr(92) + '2')})"), F.lit(0))))
-    step = step.withColumn("_m", F.when(F.size("_m") > 0, F.col("_m")))
-    step = step.withColumn("_k", F.transform("_m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
-    step = step.withColumn("_r", F.transform("_k", lambda x: pseudonym(x["m"], x["kind"], key)))
+    step = docs.withColumn("__pii_m", F.when(some, F.regexp_extract_all(column, F.lit(f"({CANDIDATES.replace(chr(92) + '1', chr(92) + '2')})"), F.lit(0))))
+    step = step.withColumn("__pii_m", F.when(F.size("__pii_m") > 0, F.col("__pii_m")))
+    step = step.withColumn("__pii_k", F.transform("__pii_m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
+    step = step.withColumn("__pii_r", F.transform("__pii_k", lambda x: pseudonym(x["m"], x["kind"], key)))
     pieces = F.split(column, f"({CANDIDATES.replace(chr(92) + '1', chr(92) + '2')})", -1)
-    step = step.withColumn("_p", F.when(F.col("_m").isNotNull(), pieces))
-    joined = F.array_join(F.zip_with("_p", F.concat("_r", F.array(F.lit(""))), lambda p, r: F.concat(p, r)), "")
+    step = step.withColumn("__pii_p", F.when(F.col("__pii_m").isNotNull(), pieces))
+    joined = F.array_join(F.zip_with("__pii_p", F.concat("__pii_r", F.array(F.lit(""))), lambda p, r: F.concat(p, r)), "")
     out = [F.coalesce(joined, column).alias(c) if c == text else F.col(c) for c in names]
     if found is not None:
-        out.append(F.coalesce(F.size(F.filter("_k", lambda x: x["kind"].isNotNull())), F.lit(0)).cast("long").alias(found))
+        out.append(F.coalesce(F.size(F.filter("__pii_k", lambda x: x["kind"].isNotNull())), F.lit(0)).cast("long").alias(found))
     return step.select(*out)

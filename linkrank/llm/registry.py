@@ -27,7 +27,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.train(language_id.training_rows(docs)))
-    return found.select("doc_id", (keyed_modulo("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+    return found.select("doc_id", F.coalesce(keyed_modulo("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = mil_quality.score_documents(docs, mil_quality.train(docs, read_table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (keyed_modulo("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= mil_quality.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(keyed_modulo("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= mil_quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
