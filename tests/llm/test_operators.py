@@ -88,6 +88,8 @@ def test_base_rules(spark, odd, none):
         if r["doc_id"] is not None:
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_base(text[r["doc_id"]])
     assert [r["kept"] for r in got if r["doc_id"] == 3] == [True, True]
+    ruled = line_frequency.apply_rules(odd)
+    assert ruled.columns == odd.columns and sorted(r["doc_id"] or -1 for r in ruled.collect()) == [-1, 3, 3, 4] and line_frequency.apply_rules(none).count() == 0
 
 
 def test_frequent_lines_go_and_copies_stay(spark):
