@@ -27,12 +27,18 @@ def excluded(notes: DataFrame, files: list[str] = (), folders: list[str] = (), t
 def property_excluded(properties: Column, rules: list[str]) -> Column:
     """True if a map<string, array<string>> of front matter matches ``name`` or ``name=value``, without regard to case."""
     entries = F.map_entries(properties)
+
+    def matches(name: str, value: str | None) -> Column:
+        def entry(e: Column) -> Column:
+            named = F.lower(F.trim(e["key"])) == name
+            return named if value is None else named & F.exists(e["value"], lambda v: F.lower(F.trim(F.coalesce(v, F.lit("null")))) == value)
+
+        return F.exists(entries, entry)
+
     out = F.lit(False)
     for rule in rules:
-        name, _, value = (p.strip().lower() for p in rule.partition("="))
-        named = lambda e, name=name: F.lower(F.trim(e["key"])) == name
-        valued = lambda e, value=value: F.exists(e["value"], lambda v: F.lower(F.trim(F.coalesce(v, F.lit("null")))) == value)
-        out = out | F.exists(entries, (lambda e: named(e) & valued(e)) if "=" in rule else named)
+        name, equals, value = rule.partition("=")
+        out = out | matches(name.strip().lower(), value.strip().lower() if equals else None)
     return F.coalesce(out, F.lit(False))
 
 
