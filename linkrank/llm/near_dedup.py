@@ -140,6 +140,8 @@ def build_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs, ended = [], []
     for depth in range(1, DEPTH + 1):
         nodes = level.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))).alias("p")).where("n > 1").select("path", "n", F.col("p.rep").alias("pivot"))
+        # written before it is joined, so that the join stands alone in its stage and a hot node's members can be split
+        nodes = nodes.checkpoint()
         members = level.join(nodes, "path").checkpoint()
         pairs.append(members.where("rep <> pivot").select("rep", "pivot").distinct())
         last = depth == DEPTH
@@ -235,7 +237,7 @@ def rest_links(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: D
     """
     info = classes.join(comps, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
     tagged = members.join(info, "rep")
-    mixed = tagged.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("path")
+    mixed = tagged.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("path").checkpoint()
     tagged = tagged.join(mixed, "path").select("path", "rep", "n", "comp").checkpoint()
     leaves = tagged.where(F.col("n") <= LEAF).select("path", F.lit("").alias("block"), F.lit(True).alias("outer"), "rep", "comp")
     blocks = _blocks(tagged.where(F.col("n") > LEAF))
