@@ -44,7 +44,7 @@ NAME_EVIDENCE = {
     **dict.fromkeys("footer header masthead copyright legal colophon toolbar topbar".split(), -9.0),
 }
 #: Evidence of a block's own text.
-PRIOR, LINK_SHARE, LONG_TEXT, SENTENCE_END, SHORT_TEXT, COPYRIGHT, PARAGRAPH, HEADING = 0.5, -5.0, 2.0, 0.8, -1.0, -3.0, 0.8, 0.8
+PRIOR, LINK_SHARE, LONG_TEXT, SENTENCE_END, SHORT_TEXT, COPYRIGHT, PARAGRAPH, HEADING = 1.5, -5.0, 2.0, 0.8, -1.0, -3.0, 0.8, 0.8
 #: Capacities of the edges between neighbours, between a block and its container, and between containers.
 ADJACENT, IN_CONTAINER, BETWEEN_CONTAINERS = 0.6, 1.0, 0.3
 
