@@ -30,6 +30,8 @@ from linkrank.llm.common import map_arrow
 WORD_END = "</w>"
 #: Entries that each cache of a worker may hold.
 CACHE_ENTRIES = 250_000
+#: The same for caches of numbers, whose entries are small.
+CACHE_COUNTS = 800_000
 #: Longer words are encoded without being kept.
 CACHE_WORD_CHARS = 64
 
@@ -72,6 +74,8 @@ class ForcedBoundaryEncoder:
         top = max(self.tokens) + 1
         self.id_text, self.id_token = [str(i) for i in range(top)], [self.tokens.get(i, "") for i in range(top)]
         self.chunk_cache: dict[str, tuple[str, str, int]] = {}
+        self.chunk_counts: dict[str, int] = {}
+        self.word_counts: dict[str, int] = {}
         self.fragment_cache: dict[tuple[str, bool], tuple[int, ...]] = {}
         self.word_cache: dict[str, tuple[str, str, int]] = {}
 
@@ -179,16 +183,19 @@ class ForcedBoundaryEncoder:
             return [w for part in self.cut_specials(chunk) if part for w in ([part] if part in self.specials else self.words(self.normalize(part)))]
         return self.words(self.normalize(chunk))
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Fill the word cache: words without a certain cut go through the merges in bulk, others fragment by fragment."""
-        joined = " ".join(words).encode()
-        data = np.frombuffer(joined, np.uint8)
+    def _without_cuts(self, words: list[str]) -> list[str]:
+        """The words without a certain cut inside, which go through the merges in bulk. A space is in no token, so it parts words."""
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
         cut = ~self.inside_bytes[data[:-1].astype(np.intp) * 256 + data[1:]]
         spaces = data == 32
         cut &= ~(spaces[:-1] | spaces[1:])
         of = np.cumsum(spaces)
         in_parts = set(of[:-1][cut].tolist())
-        whole = [w for i, w in enumerate(words) if i not in in_parts and len(w) <= CACHE_WORD_CHARS and w not in self.specials]
+        return [w for i, w in enumerate(words) if i not in in_parts and len(w) <= CACHE_WORD_CHARS and w not in self.specials]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Fill the word cache: words without a certain cut in bulk, others fragment by fragment."""
+        whole = self._without_cuts(words)
         if whole:
             enc = self.bulk.encode(" ".join(whole), add_special_tokens=False)
             ids, of = enc.ids, np.array(enc.word_ids)
@@ -203,6 +210,35 @@ class ForcedBoundaryEncoder:
                 ids = [self.specials[word]] if word in self.specials else self.word_ids(word)
                 self.word_cache[word] = (" ".join([self.id_text[i] for i in ids]), " ".join([self.id_token[i] for i in ids]), len(ids))
 
+    def _words_by_chunk(self, chunks: set[str]) -> dict[str, list[str]]:
+        plain = [c for c in chunks if not (self.special_mark and self.special_mark in c)]
+        normal = self.normalize(" ".join(plain)).split(" ") if plain else []
+        return {c: self.words(n) for c, n in zip(plain, normal, strict=True)} | {c: self._words_of(c) for c in chunks.difference(plain)}
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Number of tokens of each text; as :meth:`batch`, without the tokens."""
+        if len(self.chunk_counts) > CACHE_COUNTS:
+            self.chunk_counts.clear()
+        if len(self.word_counts) > CACHE_COUNTS:
+            self.word_counts.clear()
+        cache, known = self.chunk_counts, self.word_counts
+        split = [self.chunks(t) for t in texts]
+        missing = {c for chunks in split for c in chunks if c not in cache}
+        if missing:
+            words = self._words_by_chunk(missing)
+            fresh = list({w for ws in words.values() for w in ws}.difference(known))
+            if fresh:
+                if whole := self._without_cuts(fresh):
+                    found = self.bulk.encode(" ".join(whole), add_special_tokens=False).word_ids
+                    known.update(zip(whole, np.bincount(np.array(found), minlength=len(whole)).tolist(), strict=True))
+                for w in fresh:
+                    if w not in known:
+                        known[w] = 1 if w in self.specials else len(self.word_ids(w))
+            for chunk, ws in words.items():
+                cache[chunk] = known[ws[0]] if len(ws) == 1 else sum([known[w] for w in ws])
+        get = cache.__getitem__
+        return [sum(map(get, chunks)) for chunks in split]
+
     def batch(self, texts: list[str | None]) -> list[list[tuple[str, str, int]]]:
         """For each text, (ids in decimal, decoded tokens, number of tokens) of each of its chunks."""
         cache = self.chunk_cache
@@ -213,9 +249,7 @@ class ForcedBoundaryEncoder:
         split = [self.chunks(t) for t in texts]
         missing = {c for chunks in split for c in chunks if c not in cache}
         if missing:
-            plain = [c for c in missing if not (self.special_mark and self.special_mark in c)]
-            normal = self.normalize(" ".join(plain)).split(" ") if plain else []
-            words = {c: self.words(n) for c, n in zip(plain, normal, strict=True)} | {c: self._words_of(c) for c in missing.difference(plain)}
+            words = self._words_by_chunk(missing)
             if fresh := [w for w in {w for ws in words.values() for w in ws} if w not in self.word_cache]:
                 self._learn_words(fresh)
             known = self.word_cache
@@ -287,7 +321,7 @@ def count_documents(docs: DataFrame, path: str) -> DataFrame:
         enc = encoder(path)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([sum([g[2] for g in got]) for got in enc.batch(batch.column(0).to_pylist())], pa.int64())], ["n_tokens"])
+            return pa.record_batch([pa.array(enc.counts(batch.column(0).to_pylist()), pa.int64())], ["n_tokens"])
 
         return apply
 
