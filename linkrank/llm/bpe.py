@@ -290,8 +290,10 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
         enc = encoder(path)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [enc.encode(t) for t in batch.column(1).to_pylist()]
-            return pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(i) for i in ids], pa.string())], ["doc_id", "tokens", "decoded"])
+            got = enc.batch(batch.column(1).to_pylist())
+            ids = [[int(i) for g in pieces for i in g[0].split(" ")] for pieces in got]
+            decoded = [" ".join([g[1] for g in pieces]) for pieces in got]
+            return pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["doc_id", "tokens", "decoded"])
 
         return apply
 
