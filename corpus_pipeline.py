@@ -21,9 +21,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return line_frequency.apply_rules(docs)
 
 
+#: Documents of this similarity in percent, on word shingles, are near-duplicates.
+NEAR_PERCENT = 80
+
+
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of the smallest id."""
-    return near_dedup.drop_duplicates(docs)
+    return near_dedup.drop_duplicates(docs, near_dedup.Links.at(NEAR_PERCENT))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,16 +37,38 @@ from pyspark.sql import functions as F
 from linkrank.llm.common import ensure_checkpoint_dir, map_arrow
 
 SHINGLE = 5
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= PERCENT * union, unless other ``Links`` are given.
 PERCENT = 85
 WIDTH, TREES, DEPTH, LEAF = 64, 12, 4, 64
 #: Signature coordinates that a pair must agree in to be confirmed.
 AGREE = 40
 #: Members in one block of a node that stays large.
 BLOCK = 256
+#: Limits of the chance that a linked pair meets in no tree, and that its signature rejects it.
+MISS_TREES, MISS_SIGNATURE = 1e-6, 1e-5
 #: Ids may be broadcast up to this number (8 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
+
+@dataclass(frozen=True)
+class Links:
+    """Links have 100 * intersection >= percent * union; ``trees`` and ``agree`` are wide enough for pairs at that limit."""
+
+    percent: int = PERCENT
+    trees: int = TREES
+    agree: int = AGREE
+
+    @staticmethod
+    def at(percent: int) -> "Links":
+        """The fewest trees and the strictest filter that miss a pair at the limit with ``MISS_TREES`` and ``MISS_SIGNATURE`` at most."""
+        j = percent / 100
+        trees = math.ceil(math.log(MISS_TREES) / math.log(1 - j**DEPTH))
+        below, agree = 0.0, 0
+        while (below := below + math.comb(WIDTH, agree) * j**agree * (1 - j) ** (WIDTH - agree)) <= MISS_SIGNATURE:
+            agree += 1
+        return Links(percent, trees, agree)
+
+
 _rng = np.random.default_rng(7)
 _ODD = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64)
@@ -130,13 +155,13 @@ def _step(path: Column, sig: Column) -> Column:
     return F.xxhash64(path, _coordinate(sig, F.pmod(F.xxhash64(path, F.lit("choose")), F.lit(WIDTH)).cast("int")))
 
 
-def build_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_nodes(classes: DataFrame, links: Links = Links()) -> tuple[DataFrame, DataFrame]:
     """Branch (rep, sig) in all trees.
 
     Returns pairs (rep, pivot), distinct, of every node's members with its pivot, and members (path, rep, n) of the
     nodes at which branching ends. n is the node's size.
     """
-    level = classes.select("rep", F.explode(F.array([F.lit(t) for t in range(TREES)])).alias("tree"), "sig").select("rep", _step(F.xxhash64(F.lit("tree"), "tree"), F.col("sig")).alias("path"))
+    level = classes.select("rep", F.explode(F.array([F.lit(t) for t in range(links.trees)])).alias("tree"), "sig").select("rep", _step(F.xxhash64(F.lit("tree"), "tree"), F.col("sig")).alias("path"))
     pairs, ended = [], []
     for depth in range(1, DEPTH + 1):
         nodes = level.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))).alias("p")).where("n > 1").select("path", "n", F.col("p.rep").alias("pivot"))
@@ -161,16 +186,16 @@ def _agreements(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(WIDTH - 1)), F.lit(0), lambda acc, i: acc + (_coordinate(a, i) == _coordinate(b, i)).cast("int"))
 
 
-def best_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def best_pairs(pairs: DataFrame, classes: DataFrame, links: Links = Links()) -> DataFrame:
     """Of each class, the pair (a, b) with the pivot whose signature agrees most."""
     own = classes.select("rep", F.col("sig").alias("s1"), F.col("n_shingles").alias("n1"))
     other = classes.select(F.col("rep").alias("pivot"), F.col("sig").alias("s2"), F.col("n_shingles").alias("n2"))
-    both = pairs.join(own, "rep").join(other, "pivot").where(_sizes_fit(F.col("n1"), F.col("n2"))).select("rep", "pivot", _agreements(F.col("s1"), F.col("s2")).alias("agree")).where(F.col("agree") >= AGREE)
+    both = pairs.join(own, "rep").join(other, "pivot").where(_sizes_fit(F.col("n1"), F.col("n2"), links)).select("rep", "pivot", _agreements(F.col("s1"), F.col("s2")).alias("agree")).where(F.col("agree") >= links.agree)
     return both.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("p"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.p")).alias("b"))
 
 
-def _sizes_fit(n1: Column, n2: Column) -> Column:
-    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT
+def _sizes_fit(n1: Column, n2: Column, links: Links) -> Column:
+    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * links.percent
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -179,7 +204,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, links: Links = Links()) -> DataFrame:
     """The pairs (a, b) whose documents are linked, found on the shingles of their whole texts."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -194,7 +219,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.searchsorted(large, small)
                 common = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(small) else 0
-                keep.append(common > 0 and 100 * common >= PERCENT * (len(x) + len(y) - common))
+                keep.append(common > 0 and 100 * common >= links.percent * (len(x) + len(y) - common))
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return apply
@@ -228,7 +253,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("rep"), F.col("b").alias("comp")).unionByName(roots).distinct()
 
 
-def rest_links(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
+def rest_links(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, limit: Links = Links()) -> DataFrame:
     """Links (a, b) between different components that meet in a node; as many as are needed to connect what is linked.
 
     First the signatures of a node tell which members have a possible partner in another component; a pair that meets in
@@ -245,14 +270,14 @@ def rest_links(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: D
     sketch = classes.select("rep", "n_shingles", "sig").join(tagged.groupBy("rep").agg(F.collect_set("path").alias("paths")), "rep")
     row = F.struct("rep", "comp", "outer", "n_shingles", "sig", "paths")
     groups = meeting.join(sketch, "rep").groupBy("path", "block").agg(F.collect_list(row).alias("rows"))
-    possible = map_arrow(groups.select("path", "block", "rows"), lambda: _possible, "path long, block string, rep long, comp long", rows=64).checkpoint()
+    possible = map_arrow(groups.select("path", "block", "rows"), lambda: lambda batch: _possible(batch, limit), "path long, block string, rep long, comp long", rows=64).checkpoint()
     ids = possible.select(F.col("rep").alias("doc_id")).distinct()
     texts = _texts(docs, ids).select(F.col("doc_id").alias("rep"), "text")
     together = possible.join(texts, "rep").groupBy("path", "block").agg(F.collect_list(F.struct("rep", "comp", "text")).alias("rows"))
-    return map_arrow(together.select("rows"), lambda: _compare, "a long, b long", rows=8).distinct().checkpoint()
+    return map_arrow(together.select("rows"), lambda: lambda batch: _compare(batch, limit), "a long, b long", rows=8).distinct().checkpoint()
 
 
-def _possible(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _possible(batch: pa.RecordBatch, links: Links) -> pa.RecordBatch:
     """Members of nodes that have a possible partner: (path, block, rep, comp)."""
     out: list[tuple[int, str, int, int]] = []
     for path, block, rows in zip(*(c.to_pylist() for c in batch.columns)):
@@ -262,11 +287,11 @@ def _possible(batch: pa.RecordBatch) -> pa.RecordBatch:
         paths = [frozenset(r["paths"]) for r in rows]
         found = np.zeros(len(rows), bool)
         for i in np.flatnonzero(outer).tolist():
-            fit = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT)
+            fit = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * links.percent)
             if block.startswith("m"):
                 fit &= ~outer
             at = np.flatnonzero(fit)
-            for j in at[(sig[at] == sig[i]).sum(axis=1) >= AGREE].tolist():
+            for j in at[(sig[at] == sig[i]).sum(axis=1) >= links.agree].tolist():
                 if not (found[i] and found[j]) and min(paths[i] & paths[j]) == path:
                     found[i] = found[j] = True
         out.extend((path, block, int(rep[i]), int(comp[i])) for i in np.flatnonzero(found))
@@ -274,7 +299,7 @@ def _possible(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([pa.array(path, pa.int64()), pa.array(block, pa.string()), pa.array(rep, pa.int64()), pa.array(comp, pa.int64())], ["path", "block", "rep", "comp"])
 
 
-def _compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _compare(batch: pa.RecordBatch, links: Links) -> pa.RecordBatch:
     """All members of a node against each other, on their full sets: a spanning forest of the links between components."""
     a, b = [], []
     for rows in batch.column(0).to_pylist():
@@ -297,7 +322,7 @@ def _compare(batch: pa.RecordBatch) -> pa.RecordBatch:
             mark[own] = 1
             common = np.add.reduceat(mark[place], first)[i + 1 :]
             mark[own] = 0
-            for j in (np.flatnonzero(100 * common >= PERCENT * (sizes[i] + sizes[i + 1 :] - common)) + i + 1).tolist():
+            for j in (np.flatnonzero(100 * common >= links.percent * (sizes[i] + sizes[i + 1 :] - common)) + i + 1).tolist():
                 x, y = find(comp[i]), find(comp[j])
                 if x != y:
                     root[max(x, y)] = min(x, y)
@@ -326,16 +351,16 @@ def _blocks(tagged: DataFrame) -> DataFrame | None:
     return placed.select("path", F.explode(F.when(F.col("outer"), F.concat(with_main, with_outer)).otherwise(of_main)).alias("block"), "outer", "rep", "comp")
 
 
-def find_components(docs: DataFrame) -> DataFrame:
+def find_components(docs: DataFrame, limit: Links = Links()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     ensure_checkpoint_dir(docs.sparkSession)
     sketched = sketches(docs).checkpoint()
     full = sketched.where("sig is not null and doc_id is not null")
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("d1", "d2", "n_shingles", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")).checkpoint()
-    pairs, members = build_nodes(classes.select("rep", "sig"))
-    links = confirm(best_pairs(pairs, classes), docs)
+    pairs, members = build_nodes(classes.select("rep", "sig"), limit)
+    links = confirm(best_pairs(pairs, classes, limit), docs, limit)
     comps = components(links)
-    more = rest_links(members, classes, comps, docs)
+    more = rest_links(members, classes, comps, docs, limit)
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     merged = classes.join(comps, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
@@ -345,7 +370,7 @@ def find_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_duplicates(docs: DataFrame) -> DataFrame:
+def drop_duplicates(docs: DataFrame, limit: Links = Links()) -> DataFrame:
     """The rows of ``docs`` that stand for their component (and those without an id), as they are."""
-    gone = find_components(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = find_components(docs, limit).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -251,6 +251,26 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert near_dedup.find_components(none).count() == 0 and near_dedup.drop_duplicates(odd).columns == odd.columns
 
 
+def test_pipeline_drops_near_copies_from_eighty_percent(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(5000)]
+    rows, want = [], set()
+    for pair in range(40):
+        base = list(rng.choice(words, 150, replace=False))
+        # k changed words far from each other change 5 k of 146 shingles: similarity (146 - 5 k) / (146 + 5 k)
+        copy = list(base)
+        for at in range(10, 10 + 35 * (3 if pair % 2 else 4), 35):
+            copy[at] = "changed"
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(copy))]
+        want |= {2 * pair} if pair % 2 else {2 * pair, 2 * pair + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, "").collect()} == want
+    assert near_dedup.drop_duplicates(docs).count() == len(rows)
+    assert near_dedup.Links.at(80) == near_dedup.Links(80, 27, 36)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert {(r["rep"], r["comp"]) for r in near_dedup.components(links).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
