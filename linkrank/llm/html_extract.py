@@ -9,7 +9,7 @@ Before the flow is computed, every node whose own cost outweighs all its edges i
 the edges can pay for the other label), and its edges are folded into its neighbours' costs; what remains is small.
 
 Rules: character references are decoded, white space inside a block becomes one space, blocks are joined by a line
-feed. A ``br`` is white space. Scripts, styles, comments, form controls and the head have no text. A null or empty page,
+feed. A ``br`` is white space. A head ends where the HTML standard ends it, with or without a tag. Scripts, styles, comments, form controls and the head have no text. A null or empty page,
 or one without content, gives an empty text. Unclosed and stray tags are accepted; a tag or script that is cut off at the
 end of the page has no text. Nothing is dropped for its length.
 """
@@ -28,7 +28,13 @@ from linkrank.llm.common import map_arrow
 # Tags of HTML by their role.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "title", "select", "head")
+#: Text alone up to the end tag, or to the end of the page.
+RAW_TAGS = ("script", "style", "iframe", "textarea", "title")
+#: Without text up to their own end tag; without one, they are a tag alone.
+SKIPPED_TAGS = frozenset("noscript template svg math object select".split())
+#: Start tags that may stand in the head; any other one, or text, ends it. Start tags before which svg and math must have ended.
+HEAD_TAGS = frozenset("base basefont bgsound link meta title noscript noframes script style template".split())
+BREAKOUT_TAGS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HIDDEN_TAGS = frozenset("button option datalist canvas audio video label".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -48,11 +54,11 @@ PRIOR, LINK_SHARE, LONG_TEXT, SENTENCE_END, SHORT_TEXT, COPYRIGHT, PARAGRAPH, HE
 #: Capacities of the edges between neighbours, between a block and its container, and between containers.
 ADJACENT, IN_CONTAINER, BETWEEN_CONTAINERS = 0.6, 1.0, 0.3
 
-_raw = "|".join(t for t in RAW_TAGS)
 _token = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_raw})(?=[\s/>])[^>]*+(?:>.*?(?:</\1\s*+[^>]*+(?:>|\Z)|\Z)|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
-    re.DOTALL | re.IGNORECASE,
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
+    re.DOTALL,
 )
+_raw_end = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.IGNORECASE) for t in RAW_TAGS}
 _named = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _name_words = re.compile(r"[a-z]+")
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -84,6 +90,53 @@ class _Node:
         self.block = tag in BLOCK_TAGS
 
 
+def _tokens(page: str) -> list[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag; a raw element is one token, a comment one without a name."""
+    out, at, foreign = [], 0, False
+    while m := _token.search(page, at):
+        name, closing, attributes, at = m[2] or m[5], bool(m[1] or m[4]), m[3] or m[6] or "", m.end()
+        if name is not None:
+            name = name.lower()
+            if name in ("svg", "math"):
+                foreign = not closing and not attributes.endswith("/")
+            elif name in BREAKOUT_TAGS:
+                foreign = False
+            # inside svg and math, a raw element may close itself
+            elif name in _raw_end and not closing and not (foreign and attributes.endswith("/")):
+                end = _raw_end[name].search(page, at)
+                at = end.end() if end else len(page)
+        out.append((m.start(), at, name, closing, attributes))
+    return out
+
+
+def _skips(page: str, tokens: list[tuple[int, int, str | None, bool, str]]) -> dict[int, tuple[int, int]]:
+    """For start tags of elements without text, where reading goes on: number of the next token, position in the page."""
+    out: dict[int, tuple[int, int]] = {}
+    opened: dict[str, list[int]] = {t: [] for t in (*SKIPPED_TAGS, "foreignobject")}
+    heads = []
+    for k, (start, end, name, closing, attributes) in enumerate(tokens):
+        if name in opened:
+            if closing:
+                if opened[name]:
+                    out[opened[name].pop()] = (k + 1, end)
+            elif not (name in ("svg", "math", "foreignobject") and attributes.endswith("/")):
+                opened[name].append(k)
+        elif name in BREAKOUT_TAGS and not closing and not opened["foreignobject"]:
+            for kind in ("svg", "math"):
+                opened[kind].clear()
+        if name == "head" and not closing:
+            heads.append(k)
+    for head in heads:
+        k, at = head + 1, tokens[head][1]
+        while k < len(tokens):
+            start, end, name, closing, _ = tokens[k]
+            if page[at:start].strip() or (name is not None and (name in ("head", "body", "html", "br") if closing else name not in HEAD_TAGS)):
+                break
+            k, at = out.get(k, (k + 1, end))
+        out[head] = (k, at)
+    return out
+
+
 def blocks_of(page: str) -> list[tuple[str, float, _Node]]:
     """Text, share of it inside links, and container of each block, in page order."""
     root = _Node("#root", None, "")
@@ -103,17 +156,19 @@ def blocks_of(page: str) -> list[tuple[str, float, _Node]]:
             node = node.parent
         return node
 
-    at = 0
-    for m in _token.finditer(page):
-        if m.start() > at:
+    tokens = _tokens(page)
+    skips = _skips(page, tokens)
+    at = following = 0
+    for k, (start, end, name, closing, attributes) in enumerate(tokens):
+        if k < following:
+            continue
+        if start > at:
             top = stack[-1]
             if not top.hidden:
-                parts.append((html_lib.unescape(page[at : m.start()]), top.link))
-        at = m.end()
-        name = m[3] or m[6]
-        if name is None:
+                parts.append((html_lib.unescape(page[at:start]), top.link))
+        following, at = skips.get(k, (k + 1, end))
+        if name is None or not closing and (name in SKIPPED_TAGS or name in _raw_end or name == "head"):
             continue
-        name, closing, attributes = name.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
         if closing:
             if name in BLOCK_TAGS:
                 flush(container_of(stack[-1]))

@@ -348,6 +348,18 @@ def test_html(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_without_end_tags():
+    text = html_extract.main_text
+    assert text("<html><head><title>a</title><body><article><p>Text.</p></article>") == "Text."
+    assert text("<head><meta charset=x><title>a</title><!-- c --><script>b</script><style>c</style><article><p>Text.</p></article>") == "Text."
+    assert text("<p>a <svg class=x/> b</p><p>c</p>") == text("<p>a <math/> b</p><p>c</p>") == "a b\nc"
+    for tag in ("svg", "math", "object", "template", "noscript", "select"):
+        assert text(f"<p>a <{tag}> b</p><p>c</p><{tag}>d</{tag}><p>e</p>") == "a b\nc\ne"
+    assert text("<p>a <svg><svg>x</svg>y</svg> b</p><p>c</p>") == text("<p>a <svg><title/><g>x</g></svg> b</p><p>c</p>") == "a b\nc"
+    assert text("<head>" * 50_000) == text("<svg>" * 50_000) == ""
+    assert text("<p>a</p><script>b <p>c</p>") == text("<p>a</p><title>b <p>c</p>") == "a"
+
+
 # op9
 
 
