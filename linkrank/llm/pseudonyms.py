@@ -28,12 +28,20 @@ ROUNDS = 8
 # Patterns of the candidates.
 EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+'-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"
+#: Characters of an IBAN by country, so that what follows one is not taken for its last group.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_known = "|".join(f"(?:{of.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, of in IBAN_LENGTHS.items())
+#: The countries' own lengths first; other codes, and other lengths, as far as the groups go.
+IBAN = rf"(?<!\w)(?:(?:{_known})(?!\w)|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,4}})?(?!\w))"
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w+])(?:1[ .-])?(?:\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4})(?![\w-])"
-SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<=(?i:token|secret|passwd|password|apikey|api_key|api-key|access_key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?)[A-Za-z0-9_+/-]{12,128}(?![A-Za-z0-9_+/-])"
+SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])|(?<=(?i:token|secret|passwd|password|apikey|api_key|api-key|access_key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?)[A-Za-z0-9_+/-]{12,}+(?![A-Za-z0-9_+/-])"
 CANDIDATES = "|".join((EMAIL, SECRET, IBAN, IPV4, DATE, SSN, CARD, PHONE))
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -41,7 +49,7 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 
 def _each(text: Column) -> Column:
     """The characters of a text."""
-    return F.when(F.char_length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.substr(text, i, F.lit(1))))
+    return F.when(F.char_length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
 def _prf(key: str, kind: str, turn: Column, half: Column) -> Column:
@@ -56,7 +64,7 @@ def _number(hexadecimal: Column, at: Column, digits: int) -> Column:
 def _shift(half: Column, pad: Column, letters: int) -> Column:
     """Shift each character in its class by three hexadecimal digits of ``pad``; other characters stay."""
 
-    def one(c: Column, i: Column) -> Column:
+    def one(pad: Column, c: Column, i: Column) -> Column:
         by = _number(pad, (i % 21) * 3 + 1, 3).cast("int")
         out = c
         for alphabet in (LOWER[:letters], UPPER[:letters], DIGITS):
@@ -64,7 +72,8 @@ def _shift(half: Column, pad: Column, letters: int) -> Column:
             out = F.when(place > 0, F.substr(F.lit(alphabet), (place - 1 + by) % len(alphabet) + 1, F.lit(1))).otherwise(out)
         return out
 
-    return F.array_join(F.transform(_each(half), one), "")
+    # bound first: the pad is hashed once for the half, not for each character
+    return F.element_at(F.transform(F.array(pad), lambda p: F.array_join(F.transform(_each(half), lambda c, i: one(p, c, i)), "")), 1)
 
 
 def permute_characters(text: Column, key: str, kind: str, letters: int = 26) -> Column:

@@ -171,6 +171,21 @@ def test_pseudonyms(spark, odd, none):
     assert pseudonyms.pseudonymise(odd, "k").columns == odd.columns and pseudonyms.pseudonymise(odd, "k").count() == odd.count() and pseudonyms.pseudonymise(none, "k").count() == 0
 
 
+def test_ibans_before_other_words_and_long_secrets(spark):
+    ibans = ["ES91 2100 0418 4502 0005 1332", "BE71 0961 2345 6769", "AT611904300234573201", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00"]
+    long = ["0b96a8c8d7" * n for n in (13, 20_000)]
+    rows = [(i, f"to {iban} {after}") for i, (iban, after) in enumerate(zip(ibans, ("BIC CAIXESBBXXX", "EUR 20", "2024", "ABCD 1234", "AND MORE")))]
+    rows += [(10 + i, f"see {x} there") for i, x in enumerate(long)] + [(20, "token = " + "Ab3_" * 100), (21, "XX83 1234 5678 9012 3456")]
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k", found="n").collect()}
+    assert {i: r["n"] for i, r in got.items()} == {i: 1 for i, _ in rows}
+    for i, iban in enumerate(ibans):
+        moved, before = got[i]["text"][3 : 3 + len(iban)], rows[i][1]
+        assert moved != iban and got[i]["text"][3 + len(iban) :] == before[3 + len(iban) :]
+        bare = moved.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    assert all(got[10 + i]["text"] == f"see {brute_permute(x, 'k', 'hex', 6)} there" for i, x in enumerate(long))
+
+
 def test_permutations_are_bijective(spark):
     days = spark.range(36524).select(pseudonyms.permute_number(F.col("id"), F.lit(92), F.lit(397), "k", "date").alias("p"))
     assert days.distinct().count() == 36524 and days.agg(F.min("p"), F.max("p")).first()[:] == (0, 36523)
