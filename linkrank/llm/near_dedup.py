@@ -4,8 +4,10 @@ A document is the set of its distinct word shingles. Documents with equal sets a
 it. Every class has a minwise signature. Independent trees branch the classes: a node chooses one signature coordinate
 by its path and sends each member to the child of its minwise token there. Nodes of one member are dropped, nodes of
 ``LEAF`` members at most are compared exhaustively, larger ones branch again up to ``DEPTH``. Two sets of similarity J
-meet in a node of depth d with probability J**d in each tree, so ``TREES`` trees miss a link with a probability below
-(1 - 0.85**d)**TREES, which is 1e-13 for d = 1 and 1e-6 for d = 3.
+meet in a node of depth d with probability J**d in each tree, so T independent trees miss a link with probability
+(1 - J**d)**T at most. ``Links.at`` takes as many as keep this below ``MISS_TREES`` at depth ``DEPTH``: for J = 0.85 these
+are 19, which gives 2e-16, 3e-11, 1e-8 and 8e-7 for d = 1 to 4. The trees share one signature, so they are independent in
+part only: their roots have coordinates of their own, deeper nodes may choose those of another tree.
 
 Comparisons run in two rounds, so that a large group of copies costs no more than its size:
 
@@ -15,8 +17,8 @@ Comparisons run in two rounds, so that a large group of copies costs no more tha
    whose signatures agree enough are compared on the full sets, inside the task that holds the node. Nodes that are still large at the last depth are compared in
    blocks: members outside the node's main component against everything, block by block, never in one task.
 
-A signature agreement below ``AGREE`` of ``WIDTH`` coordinates rejects a pair unseen; for a linked pair this happens with
-a probability of 1e-5. Confirmation is exact, on the shingles of both whole texts.
+A signature agreement below ``Links.agree`` of ``WIDTH`` coordinates rejects a pair unseen; for a linked pair this happens
+with a probability of ``MISS_SIGNATURE`` at most (2e-6 at 0.85). Confirmation is exact, on the shingles of both whole texts.
 
 Results for odd input: a null text, or one without words, has an empty set and no links; a text of fewer words than a
 shingle is one shingle; a null id has no component; repeated rows of an id are one document.
@@ -39,13 +41,11 @@ from linkrank.llm.common import ensure_checkpoint_dir, map_arrow
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union, unless other ``Links`` are given.
 PERCENT = 85
-WIDTH, TREES, DEPTH, LEAF = 64, 12, 4, 64
-#: Signature coordinates that a pair must agree in to be confirmed.
-AGREE = 40
+WIDTH, DEPTH, LEAF = 64, 4, 64
 #: Members in one block of a node that stays large.
 BLOCK = 256
 #: Limits of the chance that a linked pair meets in no tree, and that its signature rejects it.
-MISS_TREES, MISS_SIGNATURE = 1e-6, 1e-5
+MISS_TREES, MISS_SIGNATURE = 1e-6, 5e-6
 #: Ids may be broadcast up to this number (8 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -54,9 +54,9 @@ MAX_BROADCAST_IDS = 1_000_000
 class Links:
     """Links have 100 * intersection >= percent * union; ``trees`` and ``agree`` are wide enough for pairs at that limit."""
 
-    percent: int = PERCENT
-    trees: int = TREES
-    agree: int = AGREE
+    percent: int
+    trees: int
+    agree: int
 
     @staticmethod
     def at(percent: int) -> "Links":
@@ -69,6 +69,9 @@ class Links:
         return Links(percent, trees, agree)
 
 
+LINKS = Links.at(PERCENT)
+
+
 _rng = np.random.default_rng(7)
 _ODD = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64)
@@ -155,13 +158,13 @@ def _step(path: Column, sig: Column) -> Column:
     return F.xxhash64(path, _coordinate(sig, F.pmod(F.xxhash64(path, F.lit("choose")), F.lit(WIDTH)).cast("int")))
 
 
-def build_nodes(classes: DataFrame, links: Links = Links()) -> tuple[DataFrame, DataFrame]:
+def build_nodes(classes: DataFrame, links: Links = LINKS) -> tuple[DataFrame, DataFrame]:
     """Branch (rep, sig) in all trees.
 
     Returns pairs (rep, pivot), distinct, of every node's members with its pivot, and members (path, rep, n) of the
     nodes at which branching ends. n is the node's size.
     """
-    level = classes.select("rep", F.explode(F.array([F.lit(t) for t in range(links.trees)])).alias("tree"), "sig").select("rep", _step(F.xxhash64(F.lit("tree"), "tree"), F.col("sig")).alias("path"))
+    level = classes.select("rep", F.explode(F.array([F.lit(t) for t in range(links.trees)])).alias("tree"), "sig").select("rep", F.xxhash64(F.lit("tree"), "tree", _coordinate(F.col("sig"), F.pmod("tree", F.lit(WIDTH)))).alias("path"))
     pairs, ended = [], []
     for depth in range(1, DEPTH + 1):
         nodes = level.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))).alias("p")).where("n > 1").select("path", "n", F.col("p.rep").alias("pivot"))
@@ -186,7 +189,7 @@ def _agreements(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(WIDTH - 1)), F.lit(0), lambda acc, i: acc + (_coordinate(a, i) == _coordinate(b, i)).cast("int"))
 
 
-def best_pairs(pairs: DataFrame, classes: DataFrame, links: Links = Links()) -> DataFrame:
+def best_pairs(pairs: DataFrame, classes: DataFrame, links: Links = LINKS) -> DataFrame:
     """Of each class, the pair (a, b) with the pivot whose signature agrees most."""
     own = classes.select("rep", F.col("sig").alias("s1"), F.col("n_shingles").alias("n1"))
     other = classes.select(F.col("rep").alias("pivot"), F.col("sig").alias("s2"), F.col("n_shingles").alias("n2"))
@@ -204,7 +207,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, links: Links = Links()) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, links: Links = LINKS) -> DataFrame:
     """The pairs (a, b) whose documents are linked, found on the shingles of their whole texts."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -253,7 +256,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("rep"), F.col("b").alias("comp")).unionByName(roots).distinct()
 
 
-def rest_links(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, limit: Links = Links()) -> DataFrame:
+def rest_links(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, limit: Links = LINKS) -> DataFrame:
     """Links (a, b) between different components that meet in a node; as many as are needed to connect what is linked.
 
     First the signatures of a node tell which members have a possible partner in another component; a pair that meets in
@@ -351,7 +354,7 @@ def _blocks(tagged: DataFrame) -> DataFrame | None:
     return placed.select("path", F.explode(F.when(F.col("outer"), F.concat(with_main, with_outer)).otherwise(of_main)).alias("block"), "outer", "rep", "comp")
 
 
-def find_components(docs: DataFrame, limit: Links = Links()) -> DataFrame:
+def find_components(docs: DataFrame, limit: Links = LINKS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     ensure_checkpoint_dir(docs.sparkSession)
     sketched = sketches(docs).checkpoint()
@@ -370,7 +373,7 @@ def find_components(docs: DataFrame, limit: Links = Links()) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_duplicates(docs: DataFrame, limit: Links = Links()) -> DataFrame:
+def drop_duplicates(docs: DataFrame, limit: Links = LINKS) -> DataFrame:
     """The rows of ``docs`` that stand for their component (and those without an id), as they are."""
     gone = find_components(docs, limit).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

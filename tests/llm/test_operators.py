@@ -266,6 +266,20 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert near_dedup.find_components(none).count() == 0 and near_dedup.drop_duplicates(odd).columns == odd.columns
 
 
+def test_trees_meet_at_depth_and_have_their_own_roots(spark):
+    trees = near_dedup.LINKS.trees
+    assert (1 - 0.85**near_dedup.DEPTH) ** trees <= 1e-6 and near_dedup.LINKS == near_dedup.Links(85, 19, 40)
+    # two signatures that agree in one coordinate only meet if it is a root's
+    rng = np.random.default_rng(4)
+    rows = []
+    for at in range(trees):
+        one, other = rng.integers(0, 1 << 32, (2, near_dedup.WIDTH), dtype=np.uint32)
+        other[at] = one[at]
+        rows += [(2 * at, bytearray(one.tobytes())), (2 * at + 1, bytearray(other.tobytes()))]
+    pairs, _ = near_dedup.build_nodes(spark.createDataFrame(rows, "rep long, sig binary"))
+    assert {tuple(sorted(r)) for r in pairs.collect()} == {(2 * at, 2 * at + 1) for at in range(trees)}
+
+
 def test_pipeline_drops_near_copies_from_eighty_percent(spark):
     import corpus_pipeline
 
