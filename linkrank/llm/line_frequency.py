@@ -1,22 +1,23 @@
 """Quality rules with cross-document line frequency, in DataFrame functions alone.
 
 Lines are normalised (lower case, digits to 0, without ASCII punctuation and white space) and hashed. For each host
-and line the distinct documents are counted. A line above the limits is boilerplate and is removed; a document that is
-left with too small a share of its word characters, or too few of them, is depleted and rejected. Texts that fail the base rules
-are rejected as well.
+and line the distinct documents are counted: documents of equal text count as one. A line that ``min_documents`` of them
+have is boilerplate and is removed from every document. A document that is left with too small a share of its word characters, or
+too few of them, is depleted and rejected. Texts that fail the base rules are rejected as well.
 
-What counts as a distinct document: copies of one document would make all its lines frequent, and the copies would be
-rejected together with their original, which is the business of near-deduplication. A line of a copy stands between the
-same neighbours in each copy, while boilerplate stands in changing surroundings. So a line is frequent if at least
-``min_documents`` documents of its host have it, and its distinct neighbourhoods (hashes of the lines before and after)
-are ``min_context_percent`` of their number at least.
+One depleted document of a group of near copies stays whole: lines that many near copies share are removed like any
+other, so the copies are depleted, and with them the text would be gone altogether. A depleted document that is the
+first of its host (by id) to have the lines which make up half of its removed characters, or more, is the original of what it says. It is kept with all
+its lines.
 
-Counting is a hash aggregation that combines on the map side, so a line that a third of all rows share costs no more
-than another. Frequent lines are joined back in two ways: the ``HOT_LINES`` most frequent ones, whose
-number is fixed, are broadcast; the others by a shuffle, in which no key can have more than a ``HOT_LINES``-th of the rows.
+Each line is written once, as hashes, and counted by two hash aggregations that combine on the map side, so a line or
+a text that a third of all rows share costs no more than another. Frequent lines are joined back in two ways: the
+``HOT_LINES`` most frequent ones, whose number is fixed, are broadcast; the others by a shuffle, in which no key can
+have more than a ``HOT_LINES``-th of the rows. Counts are exact up to collisions of 64-bit hashes.
 
 Results for odd input: a null text has no words and fails the base rules; a null host is a host of its own; repeated
-rows are each judged and count once for each row; a document without frequent lines is judged by the base rules alone.
+rows are each judged and count once; rows without an id come after all others when the first document of a line is looked for, and
+tie among themselves; a document without frequent lines is judged by the base rules alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Limits:
     """Limits of the rules. So many of a document's word characters have to be left."""
 
     min_documents: int = 10
-    min_context_percent: int = 50
+    min_first_percent: int = 50
     min_left_percent: int = 30
     min_left_chars: int = 50
     min_words: int = 20
@@ -95,67 +96,76 @@ def line_keys(text: Column) -> Column:
     return F.split(F.translate(F.lower(text), string.digits + string.punctuation + SEPARATORS.replace("\n", ""), "0" * 10), "\n")
 
 
-def row_key() -> Column:
-    """A hash pair of id, host and text; rows that agree in all three are judged alike."""
-    marked = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("doc_id", "source", "text")]
-    return F.struct(F.xxhash64(*marked).alias("a"), F.xxhash64(F.lit("second"), *marked).alias("b"))
+#: What tells rows apart; rows that agree in all three are judged alike.
+KEY = ["__lf_id", "__lf_host", "__lf_text"]
+#: Stands for a null id: larger than any other.
+NO_ID = (1 << 63) - 1
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(host, h, row, chars, context, first) for each line with a normalised form of each row.
+def _marked(column: str) -> Column:
+    """Hash of a value as text, apart from that of null."""
+    return F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("")))
 
-    h is the hash of the line, context that of its neighbours, first says that it is the line's first occurrence in its
-    row, and row identifies rows with equal id, host and text.
-    """
-    host = F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
-    step = docs.select(host.alias("host"), row_key().alias("row"), line_keys(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("k"))
-    step = step.select("host", "row", F.transform(F.filter("k", lambda k: k != ""), lambda k: F.struct(F.xxhash64(k).alias("h"), F.char_length(k).alias("chars"))).alias("l"))
-    near = lambda at: F.coalesce(F.get("l", at)["h"], F.lit(0).cast("long"))
-    placed = F.array_sort(F.transform("l", lambda x, i: F.struct(x["h"].alias("h"), i.alias("i"), x["chars"].alias("chars"), F.xxhash64(near(i - 1), near(i + 1)).alias("context"))))
-    first = lambda x, k: F.coalesce((k == 0) | (F.get("l", k - 1)["h"] != x["h"]), F.lit(True))
-    step = step.select("host", "row", placed.alias("l"))
-    step = step.select("host", "row", F.transform("l", lambda x, k: F.struct(x["h"].alias("h"), x["chars"].alias("chars"), x["context"].alias("context"), first(x, k).alias("first"))).alias("l"))
-    # an outer explode: for an inner one, Spark would evaluate the array once more, in a filter, for every element it names
-    step = step.select("host", "row", F.explode_outer("l").alias("x")).where(F.col("x").isNotNull())
-    return step.select("host", "x.h", "row", "x.chars", "x.context", "x.first")
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """Add the columns of ``KEY``: the id, and hashes of host and text."""
+    return docs.select(*docs.columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(KEY[0]), _marked("source").alias(KEY[1]), _marked("text").alias(KEY[2]))
 
-def frequent_lines(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(host, h, n) of lines above the limits; n counts distinct documents.
 
-    Distinct neighbourhoods are counted by a HyperLogLog sketch, which merges in constant space for any line.
-    """
-    counted = lines.groupBy("host", "h").agg(F.sum(F.col("first").cast("long")).alias("n"), F.approx_count_distinct("context", 0.05).alias("contexts"))
-    return counted.where((F.col("n") >= limits.min_documents) & (F.col("contexts") * 100 >= F.col("n") * limits.min_context_percent)).select("host", "h", "n")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(*KEY, h, chars) for each line with a normalised form of each row: its hash and its length."""
+    lines = F.transform(F.filter(line_keys(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda k: k != ""), lambda k: F.struct(F.xxhash64(k).alias("h"), F.char_length(k).alias("chars")))
+    step = with_key(docs.select("doc_id", "source", "text")).select(*KEY, lines.alias("l"))
+    # an outer explode: for an inner one, Spark would evaluate the array once more, in a filter
+    step = step.select(*KEY, F.explode_outer("l").alias("x")).where(F.col("x").isNotNull())
+    return step.select(*KEY, "x.h", "x.chars")
+
+
+def frequent_lines(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(host, h, n, first) of lines above the limits: the number of distinct documents that have it, and the smallest id."""
+    texts = lines.groupBy(KEY[1], "h", KEY[2]).agg(F.min(KEY[0]).alias("first"))
+    counted = texts.groupBy(KEY[1], "h").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    return counted.where(F.col("n") >= limits.min_documents)
 
 
 def removed_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(row, h, chars) for each occurrence of a frequent line."""
+    """(*KEY, h, chars, own) for each occurrence of a frequent line; own if no document of the host with it comes before."""
     ensure_checkpoint_dir(docs.sparkSession)
-    lines = lines_of(docs)
+    lines = lines_of(docs).checkpoint()
     frequent = frequent_lines(lines, limits).checkpoint()
-    hot = F.broadcast(frequent.orderBy(F.col("n").desc(), "host", "h").limit(HOT_LINES).select("host", "h", F.lit(True).alias("hot")))
-    cold = frequent.join(hot, ["host", "h"], "left_anti").select("host", F.col("h").alias("k"), F.lit(True).alias("cold"))
-    flagged = lines.select("host", "h", "row", "chars").join(hot, ["host", "h"], "left")
-    flagged = flagged.withColumn("k", F.when(F.col("hot"), F.xxhash64("row", "h")).otherwise(F.col("h")))
-    return flagged.join(cold, ["host", "k"], "left").where("hot or cold").select("row", "h", "chars")
+    host = KEY[1]
+    hot = F.broadcast(frequent.orderBy(F.col("n").desc(), host, "h").limit(HOT_LINES).select(host, "h", F.col("first").alias("hot")))
+    cold = frequent.join(hot, [host, "h"], "left_anti").select(host, F.col("h").alias("k"), F.col("first").alias("cold"))
+    flagged = lines.join(hot, [host, "h"], "left")
+    # a hot line's rows go anywhere in the second join, where they meet nothing
+    flagged = flagged.withColumn("k", F.when(F.col("hot").isNotNull(), F.xxhash64(KEY[0], KEY[2], "h")).otherwise(F.col("h")))
+    found = flagged.join(cold, [host, "k"], "left").withColumn("first", F.coalesce("hot", "cold")).where("first is not null")
+    return found.select(*KEY, "h", "chars", (F.col("first") == F.col(KEY[0])).alias("own"))
+
+
+def removals(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(*KEY, removed_chars, own_chars, removed) of rows with frequent lines, once for equal rows; removed has the lines' hashes."""
+    # equal rows have equal lines: one of them counts
+    copies = with_key(docs.select("doc_id", "source", "text")).groupBy(*KEY).agg(F.count("*").alias("copies")).where("copies > 1")
+    own = F.when(F.col("own"), F.col("chars")).otherwise(0)
+    sums = removed_lines(docs, limits).groupBy(*KEY).agg(F.sum("chars").alias("w"), F.sum(own).alias("o"), F.collect_set("h").alias("removed")).join(copies, KEY, "left")
+    once = lambda c: (F.col(c) / F.coalesce("copies", F.lit(1))).cast("long")
+    return sums.select(*KEY, once("w").alias("removed_chars"), once("o").alias("own_chars"), "removed")
 
 
 def verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(doc_id, row), the columns of :func:`with_base`, removed_chars, removed (hashes of the removed lines) and kept, for every row."""
-    removed = removed_lines(docs, limits)
-    # equal rows have equal lines: one of them counts
-    copies = docs.groupBy(row_key().alias("row")).agg(F.count("*").alias("copies")).where("copies > 1")
-    removed = removed.groupBy("row").agg(F.sum("chars").alias("w"), F.collect_set("h").alias("removed")).join(copies, "row", "left")
-    removed = removed.select("row", (F.col("w") / F.coalesce("copies", F.lit(1))).cast("long").alias("removed_chars"), "removed")
-    base = with_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row")), limits).drop("text")
-    out = base.join(removed, "row", "left").withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0).cast("long")))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted(F.col("word_chars"), F.col("removed_chars"), limits))
+    """(doc_id, *KEY), the columns of :func:`with_base`, removed_chars, removed (hashes of the lines to remove) and kept, for every row."""
+    base = with_base(with_key(docs.select("doc_id", "source", "text")), limits).drop("text", "source").withColumn("doc_id", F.col("doc_id").cast("long"))
+    out = base.join(removals(docs, limits), KEY, "left").withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0).cast("long")))
+    poor = depleted(F.col("word_chars"), F.col("removed_chars"), limits)
+    original = F.coalesce(F.col("own_chars") * 100 >= F.col("removed_chars") * limits.min_first_percent, F.lit(False))
+    out = out.withColumn("kept", ~F.col("base_failed") & (~poor | original)).withColumn("removed", F.when(~(poor & original), F.col("removed")))
+    return out.drop("own_chars")
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, the columns of :func:`with_base`, removed_chars and kept for every row."""
-    return verdicts(docs, limits).drop("row", "removed")
+    return verdicts(docs, limits).drop(*KEY, "removed")
 
 
 def depleted(chars: Column, removed: Column, limits: Limits) -> Column:
@@ -167,8 +177,10 @@ def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` that pass, without their frequent lines; the columns stay, n_chars follows the text if it is there."""
     names = docs.columns
     # written first: Spark would push the filter into the expressions of the rules and evaluate them many times
-    passed = verdicts(docs, limits).select("row", "removed", "kept").checkpoint().where("kept").select(F.col("row").alias("__lf_row"), F.col("removed").alias("__lf_removed")).dropDuplicates(["__lf_row"])
-    out = docs.withColumn("__lf_row", row_key()).join(passed, "__lf_row")
+    judged = verdicts(docs, limits).select(*KEY, F.col("removed").alias("__lf_removed"), "kept").checkpoint()
+    passed = judged.where("kept").select(*KEY).distinct()
+    removed = judged.where("kept and __lf_removed is not null").drop("kept").distinct()
+    out = with_key(docs).join(passed, KEY).join(removed, KEY, "left")
     lines = F.arrays_zip(F.split("text", "\n").alias("line"), line_keys(F.col("text")).alias("k"))
     left = F.array_join(F.transform(F.filter(lines, lambda x: ~F.array_contains("__lf_removed", F.xxhash64(x["k"]))), lambda x: x["line"]), "\n")
     text = F.when(F.col("__lf_removed").isNull(), F.col("text")).otherwise(left)

@@ -98,12 +98,11 @@ FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-     raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
-     keyed AS (SELECT *, length(k) AS chars FROM (SELECT doc_id, source, i, line, regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g') AS k FROM raw)),
-     near AS (SELECT *, lag(k) OVER w AS kb, lead(k) OVER w AS ka FROM keyed WHERE k <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-     freq AS (SELECT source, k FROM near GROUP BY source, k
-              HAVING count(DISTINCT doc_id) >= 10 AND count(DISTINCT (coalesce(kb, ''), coalesce(ka, ''))) * 100 >= count(DISTINCT doc_id) * 50),
-     gone AS (SELECT doc_id, sum(chars) AS w FROM near SEMI JOIN freq ON near.source = freq.source AND near.k = freq.k GROUP BY doc_id),
+     raw AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+     keyed AS (SELECT *, length(k) AS chars FROM (SELECT doc_id, source, t, line, regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g') AS k FROM raw)),
+     freq AS (SELECT source, k, min(doc_id) AS f FROM keyed WHERE k <> '' GROUP BY source, k HAVING count(DISTINCT t) >= 10),
+     gone AS (SELECT doc_id, sum(chars) AS w, sum(CASE WHEN f = doc_id THEN chars ELSE 0 END) AS o
+              FROM keyed JOIN freq ON keyed.source IS NOT DISTINCT FROM freq.source AND keyed.k = freq.k GROUP BY doc_id),
      ws AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
      win AS (SELECT doc_id, p, array_to_string(ws[p:p + 7], chr(10)) AS w FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS p FROM ws WHERE len(ws) >= 8)),
      rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w) AS c FROM win) WHERE c > 1),
@@ -111,10 +110,10 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
      lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
      base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
                      CAST(length(array_to_string(ws, '')) - length(regexp_replace(array_to_string(ws, ''), '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-                     CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(w, 0) AS BIGINT) AS removed_chars
+                     CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(w, 0) AS BIGINT) AS removed_chars, coalesce(o, 0) AS own
               FROM ws LEFT JOIN lines USING (doc_id) LEFT JOIN nrep USING (doc_id) LEFT JOIN gone USING (doc_id)),
      failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
-SELECT *, NOT base_failed AND NOT (removed_chars > 0 AND (word_chars - removed_chars < 50 OR (word_chars - removed_chars) * 100 < word_chars * 30)) AS kept FROM failed
+SELECT * EXCLUDE (own), NOT base_failed AND NOT (removed_chars > 0 AND own * 100 < removed_chars * 50 AND (word_chars - removed_chars < 50 OR (word_chars - removed_chars) * 100 < word_chars * 30)) AS kept FROM failed
 """
 
 

@@ -94,17 +94,52 @@ def test_base_rules(spark, odd, none):
 
 def test_frequent_lines_go_and_copies_stay(spark):
     rng = np.random.default_rng(5)
-    vocabulary = [f"w{i}" for i in range(500)]
+    vocabulary = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(500)]
     line = lambda n=12: " ".join(rng.choice(vocabulary, n))
-    notice = "All rights reserved 2024 by the host of this page"
-    rows = [(i, f"{line()}\n{notice.replace('2024', str(2000 + i))}\n{line()}", "h") for i in range(30)]
+    footer = ["About this host and its long history", "Terms of use, version 2024", "All rights reserved 2024 by the host", "Back to the first page"]
+    rows = [(i, "\n".join([line(), line(), *footer]).replace("2024", str(2000 + i)), "h") for i in range(200)]
     original = "\n".join(line() for _ in range(4))
-    rows += [(100 + i, original, "h") for i in range(40)]
-    rows += [(200, "\n".join([notice] * 5 + ["x y z"] * 2), "h")]
+    rows += [(1000 + i, original, "h") for i in range(40)]  # copies count as one document
+    near = [line() for _ in range(6)]
+    rows += [(2000 + i, "\n".join([*near, f"own {line(2)}"]), "h") for i in range(30)]  # of near copies, the first stays
+    rows += [(3000, "\n".join(footer * 3), "h"), (3001, footer[0] + "\n" + line(30), "other"), (3002, f"{line(30)}\n{footer[3]}", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = {r["doc_id"]: r["text"] for r in line_frequency.apply_rules(docs).collect()}
-    assert set(kept) == set(range(30)) | set(range(100, 140))
-    assert "reserved" not in kept[3] and kept[105] == original
+    assert set(kept) == set(range(200)) | set(range(1000, 1040)) | {2000, 3001, 3002}
+    texts = {i: t for i, t, _ in rows}
+    assert all(kept[i] == "\n".join(texts[i].split("\n")[:2]) for i in range(200))
+    assert all(kept[i] == texts[i] for i in kept if i >= 1000)
+
+
+def brute_op2(rows, least=10):
+    """doc_id -> (removed_chars, kept) of (doc_id, text, source), without equal ids."""
+    norm = lambda x: re.sub(r"[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]", "", re.sub("[0-9]", "0", x.lower()))
+    having = {}
+    for i, t, s in rows:
+        for k in {norm(x) for x in (t or "").split("\n")} - {""}:
+            having.setdefault((s, k), []).append((i, t))
+    first = {k: min(i for i, _ in v) for k, v in having.items() if len({t for _, t in v}) >= least}
+    out = {}
+    for i, t, s in rows:
+        gone = [(len(k), first[s, k] == i) for k in map(norm, (t or "").split("\n")) if (s, k) in first]
+        removed, own = sum(n for n, _ in gone), sum(n for n, mine in gone if mine)
+        words, chars, _, _, repeated = brute_base(t)
+        poor = removed and (chars - removed < 50 or (chars - removed) * 100 < chars * 30) and own * 2 < removed
+        out[i] = (removed, words >= 20 and 100 * repeated <= 30 * words and not poor)
+    return out
+
+
+def test_line_frequency_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    common = [" ".join(rng.choice([f"v{i}" for i in range(60)], 9)) for _ in range(12)]
+    rows = []
+    for i in range(400):
+        lines = [common[int(rng.integers(12))] if rng.random() < 0.5 else " ".join(rng.choice([chr(97 + j % 26) * (1 + j // 26) for j in range(300)], 9)) for _ in range(int(rng.integers(1, 7)))]
+        rows.append((i, None if i == 7 else "\n".join(lines), [None, "a", "b"][int(rng.integers(3))]))
+    rows += [(400 + i, rows[i][1], rows[i][2]) for i in range(60)]
+    got = {r["doc_id"]: (r["removed_chars"], r["kept"]) for r in line_frequency.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    want = brute_op2(rows)
+    assert got == want and {k for _, k in want.values()} == {True, False} and any(n for n, _ in want.values())
 
 
 # op3, op5
