@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkrank.llm.bpe import count_documents
+from linkrank.llm.common import ensure_checkpoint_dir
 
 #: Lengths in one block of the suffix sums.
 BLOCK = 1024
@@ -31,7 +32,9 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     if every document is cut to n_tokens); docs_at_most (documents that fit whole into n_tokens); total_docs,
     total_tokens.
     """
-    h = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("t", F.col("n_tokens") * F.col("n_docs"))
+    ensure_checkpoint_dir(hist.sparkSession)
+    # read twice below: written, so that the documents are encoded once
+    h = hist.checkpoint().withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("t", F.col("n_tokens") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("t").alias("bt"))
     above = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
