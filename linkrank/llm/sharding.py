@@ -1,8 +1,9 @@
 """Sharding by proportional stratified interleaving.
 
-Rows of each source are put in a seeded random order and ranked; a row's fractional rank is (rank - 1/2) / rows of its
-source. All rows sorted by fractional rank interleave the sources in proportion, so equal cuts of that order give
-shards which all match the mixture. Shard sizes differ by one row at most (law ``rows``).
+Rows of each source are put in a seeded random order and ranked; a row's fractional rank is (rank - u) / rows of its
+source, where u, from 0 to 1, is a seeded hash of the source. All rows sorted by fractional rank interleave the sources in proportion, so equal cuts of that order give
+shards which all match the mixture: any stretch of the order has each source's share to within one row, and u spreads the
+rows of many small sources. Shard sizes differ by one row at most (law ``rows``).
 
 No task ever holds a whole source or the whole order: both ranks are found in buckets. Order keys are split into
 ``buckets`` ranges, rows are counted by bucket, and a row's rank is the rows of the buckets before it plus its rank in its own
@@ -10,7 +11,8 @@ bucket. A source that holds a third of all rows is spread over all buckets.
 
 Results for odd input: a null source is a source of its own; a null text has size 1 and the crc32 of nothing (0). Rows
 that are equal in id, text and source are interchangeable. The order of ties is (random key, id, text), then source.
-With fewer rows than shards some shards stay empty. An empty table gives no rows.
+With fewer rows than shards some shards stay empty. An empty table gives no rows. Other columns do not matter; of
+:func:`write_shards`, columns named shard and slot are replaced.
 """
 
 from __future__ import annotations
@@ -46,10 +48,10 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: str = SEED) -> DataFrame:
         F.md5(F.concat_ws("|", F.lit(seed), docs["doc_id"].cast("string")).cast("binary")).alias("key"),
     ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     ranked = _ranked(rows, ["stratum"], "bucket", ["key", "doc_id", "text_crc32", "size"], "rank")
-    # (2 rank - 1) / (2 total) as an exact fraction: buckets by its integer part, order by the double, ties by rank and source
+    # buckets by the leading part of the fraction, order by the double, ties by source and rank
     width = 16**BUCKET_DIGITS
-    half = F.col("rank") * 2 - 1
-    ranked = ranked.withColumn("fraction", half / (F.col("rank_total") * 2)).withColumn("all", F.lit(0)).withColumn("range", F.least(F.floor(F.col("fraction") * width), F.lit(width - 1)))
+    offset = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("source"), "stratum").cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    ranked = ranked.withColumn("fraction", (F.col("rank") - offset) / F.col("rank_total")).withColumn("all", F.lit(0)).withColumn("range", F.least(F.floor(F.col("fraction") * width), F.lit(width - 1)))
     placed = _ranked(ranked, ["all"], "range", ["fraction", "stratum", "rank"], "place")
     place = F.col("place") - 1
     # place p belongs to the shard s with floor(s * total / shards) <= p < floor((s + 1) * total / shards)
@@ -65,7 +67,8 @@ def mixture(sharded: DataFrame) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: str = SEED) -> None:
     """Write the rows of ``docs`` to ``path``/shard=N, each in the order of its slots. Ids have to be unique."""
-    places = shard_rows(docs, shards, seed).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    out = docs.join(places, docs["doc_id"] == places["_id"]).drop("_id")
+    places = shard_rows(docs, shards, seed).select(F.col("doc_id").alias("__shard_id"), "shard", "slot")
+    rest = docs.drop("shard", "slot")
+    out = rest.join(places, rest["doc_id"].cast("long") == places["__shard_id"]).drop("__shard_id")
     parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
