@@ -6,7 +6,9 @@ the words, with a penalty for each change of language, labels the text with span
 language is the one with the most letters in its spans; its score is that share of the letters.
 
 Training takes a bounded sample: at most ``TRAIN_DOCUMENTS`` documents of each language, chosen by a hash of their id,
-whole texts. Scoring covers every document and the whole of each text.
+whole texts. Scoring covers every document and the whole of each text. Every lang value of the training rows is learned;
+the model takes 256 KB a language, on the driver and in each worker (50 MB for 200 languages), and texts are scored in
+blocks that get shorter with the number of languages.
 
 Results for odd input: a null text, or one without a letter, gets ``und`` with score 0 and no spans; ties go to the
 first language in code-point order; a text whose script no language of the training data has is scored against all of
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkrank.llm.common import keyed_modulo, map_arrow
+from linkrank.llm.common import bound_batches, ensure_checkpoint_dir, keyed_modulo, map_arrow
 
 UNDETERMINED = "und"
-#: Most documents of a language that the model learns from, and most languages (the most frequent ones).
-TRAIN_DOCUMENTS, MAX_LANGUAGES = 1500, 64
+#: Most documents of a language that the model learns from. Every lang value is learned.
+TRAIN_DOCUMENTS = 1500
+#: Languages whose counts come to the driver at once.
+COLLECT_LANGUAGES = 32
 #: Longest n-gram, and buckets that n-grams are hashed into.
 MAX_GRAM, BUCKETS = 4, 1 << 16
 #: Cost in nats of a change of language between two words, and bounds of what a single word can say.
@@ -37,8 +41,10 @@ SWITCH_PENALTY, WORD_BOUND = 12.0, 8.0
 SCRIPT_SHARE = 0.02
 #: Words of a long text that run as one lane of the Viterbi pass.
 LANE_WORDS = 256
-#: Characters scored at once.
-BLOCK_CHARS = 2_000_000
+#: Characters scored at once with up to ``BLOCK_LANGUAGES`` languages, fewer with more; scores looked up at once.
+BLOCK_CHARS, BLOCK_LANGUAGES, BLOCK_SCORES = 2_000_000, 8, 16_000_000
+#: With more languages than this, lanes of a long text are entered one after the other, without transfer matrices.
+MAX_TRANSFER_LANGUAGES = 32
 
 
 @cache
@@ -140,13 +146,12 @@ class Model:
     def emissions(self, words: Words) -> np.ndarray:
         """Score of each word for each language: mean-free, bounded, far below for languages of other scripts."""
         total = np.zeros((len(words.starts), len(self.languages)), np.float32)
-        grams = np.zeros(len(words.starts), np.float32)
         for bucket, word in words.grams():
-            values = self.table[bucket]
-            cut = np.flatnonzero(np.diff(word, prepend=-1))
-            if len(cut):
-                total[word[cut]] += np.add.reduceat(values, cut, axis=0)
-                grams += np.bincount(word, minlength=len(grams)).astype(np.float32)
+            size = max(1, BLOCK_SCORES // len(self.languages))
+            for at in range(0, len(bucket), size):
+                of = word[at : at + size]
+                cut = np.flatnonzero(np.diff(of, prepend=-1))
+                total[of[cut]] += np.add.reduceat(self.table[bucket[at : at + size]], cut, axis=0)
         # overlapping n-grams repeat each other's evidence: a word says as much as its n-grams of one length
         total *= (1.0 / MAX_GRAM)
         total -= total.max(axis=1, keepdims=True) if len(total) else 0
@@ -178,7 +183,16 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float = S
     active = np.searchsorted(-lane_len, -np.arange(lane_len[0]), side="left")  # lanes longer than t
     entry = np.zeros((len(lane_len), k))
     long = np.flatnonzero((lanes_of[lane_doc] > 1))
-    if len(long):
+    if len(long) and k > MAX_TRANSFER_LANGUAGES:
+        for d in np.unique(lane_doc[long]).tolist():
+            own = np.flatnonzero(lane_doc == d)
+            state = np.zeros(k)
+            for i in own[np.argsort(lane_no[own])].tolist():
+                entry[i] = state
+                for x in scores[lane_start[i] : lane_start[i] + lane_len[i]]:
+                    state = np.maximum(state, state.max() - penalty) + x
+                state = state - state.max()
+    elif len(long):
         transfer = _transfer(scores, lane_start[long], lane_len[long], penalty)
         by_lane = {(int(lane_doc[i]), int(lane_no[i])): j for j, i in enumerate(long)}
         place = {(int(lane_doc[i]), int(lane_no[i])): int(i) for i in long}
@@ -189,7 +203,7 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float = S
                 state = (state[:, None] + transfer[by_lane[d, no]]).max(axis=0)
                 state -= state.max()
     steps = int(lane_len[0])
-    back = np.zeros((steps, len(lane_len), k), np.int8)
+    back = np.zeros((steps, len(lane_len), k), np.int8 if k < 128 else np.int32)
     value = entry.copy()
     for t in range(steps):
         m = active[t]
@@ -233,8 +247,9 @@ def label_texts(texts: list[str | None], model: Model) -> list[tuple[str, float,
     """(language, score, spans) of each text; spans are (first character, end, language) in the lower-cased text."""
     out = []
     block, size = [], 0
+    most = BLOCK_CHARS * BLOCK_LANGUAGES // max(BLOCK_LANGUAGES, len(model.languages))
     for t in [*texts, None]:
-        if block and (size + len(t or "") > BLOCK_CHARS or len(block) == len(texts) - len(out)):
+        if block and (size + len(t or "") > most or len(block) == len(texts) - len(out)):
             out.extend(_label_block(block, model))
             block, size = [], 0
         block.append(t)
@@ -266,14 +281,14 @@ def train(rows: DataFrame) -> Model:
 
     The counts of the sample are summed by language and bucket on the executors; the driver gets BUCKETS sums a language at most.
     """
-    seen = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     languages = sorted(r["lang"] for r in seen)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)), {})
     # a hash below this share of its range keeps about twice the sample; the rank then makes it exact
     share = F.create_map(*[x for r in seen for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * TRAIN_DOCUMENTS / r["n"] + 50.0 / r["n"])))])
     place = (F.crc32(F.concat(F.lit("sample"), F.col("doc_id").cast("string")).cast("binary")) / F.lit(2.0**32)).alias("place")
-    sample = rows.select("doc_id", "text", "lang", place).where(F.col("lang").isin(languages)).where(F.col("place") < share[F.col("lang")])
+    sample = rows.select("doc_id", "text", "lang", place).where(F.col("place") < share[F.col("lang")])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     sample = sample.withColumn("r", rank).where(F.col("r") <= TRAIN_DOCUMENTS).select("lang", "text")
 
@@ -297,15 +312,18 @@ def train(rows: DataFrame) -> Model:
         if scripts:
             yield pa.record_batch([pa.array([k[0] for k in scripts], pa.string()), pa.array(["script " + k[1] for k in scripts], pa.string()), pa.array(list(scripts.values()), pa.int64())], ["lang", "key", "n"])
 
-    sums = sample.mapInArrow(count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    ensure_checkpoint_dir(rows.sparkSession)
+    bound_batches(rows.sparkSession)
+    sums = sample.mapInArrow(count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).checkpoint()
     counts, scripts = np.zeros((len(languages), BUCKETS)), {}
     at = {lang: i for i, lang in enumerate(languages)}
-    table = sums.toArrow()
-    for lang, key, n in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), table.column(2).to_pylist()):
-        if key.startswith("script "):
-            scripts.setdefault(lang, {})[key[7:]] = n
-        else:
-            counts[at[lang], int(key)] = n
+    for i in range(0, len(languages), COLLECT_LANGUAGES):
+        table = sums.where(F.col("lang").isin(languages[i : i + COLLECT_LANGUAGES])).toArrow()
+        for lang, key, n in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), table.column(2).to_pylist()):
+            if key.startswith("script "):
+                scripts.setdefault(lang, {})[key[7:]] = n
+            else:
+                counts[at[lang], int(key)] = n
     return Model(languages, counts, scripts)
 
 
