@@ -6,16 +6,17 @@ different ones stay different, and the result is valid itself. What does not val
 
 Formats: payment card numbers (Luhn; the first digit stays, the check digit is made anew), IBANs (mod 97; country and
 letters stay, digits are permuted, check digits are made anew), telephone numbers (national digits are permuted,
-punctuation stays), US social security numbers, IPv4 addresses, dates (ISO, dotted, slashed; permuted within their
-century), e-mail addresses (local part and subdomains; letters to letters, digits to digits), and secrets (long
+punctuation stays; without a country code, area and exchange start with 2 to 9 before and after), US social security numbers, IPv4 addresses, dates (ISO, dotted, slashed; permuted within their
+century, with the widths of day and month as written), e-mail addresses (all but the top-level domain; letters to letters, digits to digits), and secrets (long
 hexadecimal strings, and values given to a name such as token or password).
 
 A permutation is a Feistel network of ``ROUNDS`` rounds: the value is split in two halves, and each round shifts one
 half by SHA-256 of (key, format, round, other half), so it can be undone with the key. Character strings are shifted
 letter by letter in their own class; addresses, numbers of other ranges and dates by modular addition on the two halves.
+A permutation of more values than the format has, such as 31 days for each month, is applied until a valid one comes (``WALK``).
 
 Results for odd input: a null text stays null, a text without candidates stays as it is; overlapping candidates are
-taken from the left. Very long texts are treated whole. Rows and all other columns stay.
+taken from the left. Very long texts are treated whole, in time that grows with their length. Rows and all other columns stay.
 """
 
 from __future__ import annotations
@@ -24,10 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Most steps until a permuted value is valid; each misses with a chance of 3 % at most, so all of them with 1e-48.
+WALK = 32
 
 # Patterns of the candidates.
-EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+'-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
-IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
+#: A local part has 64 characters at most, a label 63, a name 127 labels. It starts where letters or digits start, so long runs are tried once.
+EMAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+'-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,24}"
+#: Not the number of a version.
+IPV4 = r"(?<![\w.])(?<!(?i:version|release|build|ver|v)[. ]{0,2})\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 #: Characters of an IBAN by country, so that what follows one is not taken for its last group.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -40,7 +45,7 @@ IBAN = rf"(?<!\w)(?:(?:{_known})(?!\w)|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w+])(?:1[ .-])?(?:\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4})(?![\w-])"
+PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w+])(?:1[ .-])?(?:\([2-9]\d{2}\) ?[2-9]\d{2}[ .-]\d{4}|[2-9]\d{2}-[2-9]\d{2}-\d{4}|[2-9]\d{2}\.[2-9]\d{2}\.\d{4}|[2-9]\d{2} [2-9]\d{2} \d{4})(?![\w-])"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])|(?<=(?i:token|secret|passwd|password|apikey|api_key|api-key|access_key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?)[A-Za-z0-9_+/-]{12,}+(?![A-Za-z0-9_+/-])"
 CANDIDATES = "|".join((EMAIL, SECRET, IBAN, IPV4, DATE, SSN, CARD, PHONE))
 
@@ -162,8 +167,17 @@ def _iban_ok(m: Column) -> Column:
 def _phone(m: Column, key: str) -> Column:
     d = _digits(m)
     # the country code after + stays: for +1, one digit; otherwise what leaves ten digits, or one digit
-    code = F.when(~F.startswith(m, F.lit("+")), F.lit(0)).when(F.char_length(d) > 10, F.char_length(d) - 10).otherwise(F.lit(1))
-    return _refill(m, F.concat(F.substr(d, F.lit(1), code), permute_characters(F.substr(d, code + 1), key, "phone")))
+    code = F.when(F.char_length(d) > 10, F.char_length(d) - 10).otherwise(F.lit(1))
+    abroad = _refill(m, F.concat(F.substr(d, F.lit(1), code), permute_characters(F.substr(d, code + 1), key, "phone")))
+    # area and exchange from 200 to 999 and a line of four digits are counted through: 80,000 x 80,000 values
+    own = F.substr(d, F.char_length(d) - 9)
+    part = lambda x, at, n: F.substr(x, F.lit(at), F.lit(n)).cast("long")
+    value = ((part(own, 1, 3) - 200) * 800 + part(own, 4, 3) - 200) * 10000 + part(own, 7, 4)
+    moved = F.array(permute_number(value, F.lit(80000), F.lit(80000), key, "phone"))
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    lead = F.substr(d, F.lit(1), F.char_length(d) - 10)
+    written = lambda v: _refill(m, F.concat(lead, pad(F.floor(v / 8000000) + 200, 3), pad(F.floor(v / 10000) % 800 + 200, 3), pad(v % 10000, 4)))
+    return F.when(F.startswith(m, F.lit("+")), abroad).otherwise(F.element_at(F.transform(moved, written), 1))
 
 
 def _ssn_ok(m: Column) -> Column:
@@ -197,41 +211,60 @@ def _ipv4(m: Column, key: str) -> Column:
     return F.element_at(F.transform(moved, lambda v: F.concat_ws(".", part(v, 16777216), part(v, 65536), part(v, 256), part(v, 1))), 1)
 
 
-def _date_of(m: Column) -> Column:
-    """The date that is written, or null: year first; with dots, day first; with slashes, month first unless it exceeds 12."""
+def _date_fields(m: Column) -> dict[str, Column]:
+    """Year, month and day of a written date, the widths of the last two, and whether the day comes first.
+
+    Year first; with dots, day first; with slashes, month first unless it exceeds 12.
+    """
     parts = F.split(m, "[./-]")
-    first, second, third = (F.element_at(parts, i).cast("int") for i in (1, 2, 3))
-    iso, dotted = F.instr(m, "-") > 0, F.instr(m, ".") > 0
-    day_first = dotted | (first > 12)
-    year = F.when(iso, first).otherwise(third)
-    month = F.when(iso, second).when(day_first, second).otherwise(first)
-    day = F.when(iso, third).when(day_first, first).otherwise(second)
-    # the first of a month always exists; the day must lie inside that month
-    begin = F.when(month.between(1, 12) & year.between(1000, 2999), F.make_date(year, month, F.lit(1)))
-    return F.when((day >= 1) & (day <= F.dayofmonth(F.last_day(begin))), F.date_add(begin, day - 1))
+    first, second, third = (F.element_at(parts, i) for i in (1, 2, 3))
+    iso = F.instr(m, "-") > 0
+    over = ~iso & (F.instr(m, ".") == 0) & (first.cast("int") > 12)
+    day_first = (F.instr(m, ".") > 0) | over
+    month, day = F.when(iso | day_first, second).otherwise(first), F.when(iso, third).when(day_first, first).otherwise(second)
+    return {"year": F.when(iso, first).otherwise(third).cast("int"), "month": month.cast("int"), "day": day.cast("int"), "mw": F.char_length(month), "dw": F.char_length(day), "over": over, "day_first": day_first, "iso": iso}
+
+
+def _days_of(year: Column, month: Column) -> Column:
+    """Days of a month, or null for no month."""
+    return F.dayofmonth(F.last_day(F.when(month.between(1, 12), F.make_date(year.cast("int"), month.cast("int"), F.lit(1)))))
+
+
+def _date_ok(m: Column) -> Column:
+    f = _date_fields(m)
+    return F.coalesce(f["year"].between(1000, 2999) & f["day"].between(1, _days_of(f["year"], f["month"])), F.lit(False))
 
 
 def _date(m: Column, key: str) -> Column:
-    """Days of a century are permuted: 36,524 = 92 x 397 of them, or 36,525 = 75 x 487 if its first year is a leap year."""
-    date = _date_of(m)
-    century = F.floor(F.year(date) / 100) * 100
-    begin = F.make_date(century.cast("int"), F.lit(1), F.lit(1))
-    leap = century % 400 == 0
-    # the century is part of the format, the days are permuted in it
-    moved = permute_number(F.datediff(date, begin).cast("long"), F.when(leap, F.lit(75)).otherwise(F.lit(92)), F.when(leap, F.lit(487)).otherwise(F.lit(397)), key, "date")
-    day = F.array(F.date_add(begin, moved.cast("int")))
-    first = F.element_at(F.split(m, "[./-]"), 1).cast("int")
+    """Year of the century, month and day are permuted. A field of one digit has 1 to 9, one of two digits all values; a day
+    that is known by being over 12 has 13 to 31."""
+    f = _date_fields(m)
+    months, least = F.when(f["mw"] == 1, F.lit(9)).otherwise(F.lit(12)), F.when(f["over"], F.lit(13)).otherwise(F.lit(1))
+    days = F.when(f["dw"] == 1, F.lit(9)).otherwise(F.lit(32) - least)
+    century = F.floor(f["year"] / 100).cast("long") * 100
+    start = ((f["year"] - century) * months + f["month"] - 1) * days + f["day"] - least
+    given = F.struct(start.cast("long").alias("v"), F.lit(False).alias("done"), (months * days).cast("long").alias("b"), months.cast("long").alias("months"), days.cast("long").alias("days"), least.cast("long").alias("least"), century.alias("century"))
+
+    def step(acc: Column, _: Column) -> Column:
+        moved = F.element_at(F.transform(F.array(permute_number(acc["v"], F.lit(100).cast("long"), acc["b"], key, "date")), lambda v: _walked(acc, v)), 1)
+        return F.when(acc["done"], acc).otherwise(moved)
+
+    def _walked(acc: Column, v: Column) -> Column:
+        year, month, day = acc["century"] + F.floor(v / acc["b"]), F.floor((v % acc["b"]) / acc["days"]) + 1, v % acc["days"] + acc["least"]
+        return F.struct(v.alias("v"), (day <= _days_of(year, month)).alias("done"), *(acc[c].alias(c) for c in ("b", "months", "days", "least", "century")))
 
-    def written(d: Column) -> Column:
-        slashed = F.when(first > 12, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))
-        return F.when(F.instr(m, "-") > 0, F.date_format(d, "yyyy-MM-dd")).when(F.instr(m, ".") > 0, F.date_format(d, "dd.MM.yyyy")).otherwise(slashed)
+    def written(acc: Column) -> Column:
+        v = acc["v"]
+        year, month, day = (acc["century"] + F.floor(v / acc["b"])).cast("string"), F.floor((v % acc["b"]) / acc["days"]) + 1, v % acc["days"] + acc["least"]
+        month, day = (F.when(width == 1, x.cast("string")).otherwise(F.lpad(x.cast("string"), 2, "0")) for x, width in ((month, f["mw"]), (day, f["dw"])))
+        return F.when(f["iso"], F.concat_ws("-", year, month, day)).when(F.instr(m, ".") > 0, F.concat_ws(".", day, month, year)).when(f["day_first"], F.concat_ws("/", day, month, year)).otherwise(F.concat_ws("/", month, day, year))
 
-    return F.element_at(F.transform(day, written), 1)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), given, step, written)
 
 
 def _email(m: Column, key: str) -> Column:
-    """Local part and subdomains move; the last two labels of the domain stay."""
-    tail = F.regexp_extract(m, r"[A-Za-z0-9-]+\.[A-Za-z]{2,24}$", 0)
+    """All but the top-level domain moves."""
+    tail = F.regexp_extract(m, r"\.[A-Za-z]{2,24}$", 0)
     return F.concat(permute_characters(F.substr(m, F.lit(1), F.char_length(m) - F.char_length(tail)), key, "email"), tail)
 
 
@@ -248,7 +281,7 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(F.instr(m, "@") > 0, F.lit("email"))
         .when(whole(IPV4), F.when(octets, F.lit("ipv4")))
-        .when(whole(DATE), F.when(_date_of(m).isNotNull(), F.lit("date")))
+        .when(whole(DATE), F.when(_date_ok(m), F.lit("date")))
         .when(whole(SSN), F.when(_ssn_ok(m), F.lit("ssn")))
         .when(whole(CARD), F.when((luhn_sum(d) % 10 == 0) & ~d.rlike("^0+$"), F.lit("card")))
         .when(whole(IBAN) & _iban_ok(m), F.lit("iban"))
