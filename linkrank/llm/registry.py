@@ -59,7 +59,8 @@ def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+    pages = read_table(spark, sf_dir, "pages")
+    return html_extract.extract_pages(pages, html_extract.train(pages))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
