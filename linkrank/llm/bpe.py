@@ -29,9 +29,9 @@ from linkrank.llm.common import map_arrow
 
 WORD_END = "</w>"
 #: Entries that each cache of a worker may hold.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 120_000
 #: The same for caches of numbers, whose entries are small.
-CACHE_COUNTS = 800_000
+CACHE_COUNTS = 400_000
 #: Longer words are encoded without being kept.
 CACHE_WORD_CHARS = 64
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A driver-side object may be sent to the executors only up to this size; operators work in blocks beyond it.
 MAX_BROADCAST_BYTES = 32 << 20
+#: Rows and bytes of a batch that a Python worker is handed; a longer row comes alone.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +23,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's ``spark.checkpoint.dir``; a session without one (tests) gets a folder of its own."""
+    """Keep the session's ``spark.checkpoint.dir``. Without one, a single-machine session gets a temporary folder; a cluster is refused."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
 
 
 def keyed_modulo(column: str, modulus: int):
@@ -31,8 +39,19 @@ def keyed_modulo(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker is handed at once, for the session; smaller settings stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        number = int(now.rstrip("bB")) if now and now.rstrip("bB").lstrip("-").isdigit() else 0
+        if number <= 0 or number > most:
+            spark.conf.set(key, str(most))
+
+
 def map_arrow(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 2000) -> DataFrame:
     """Apply a batch function in Arrow; ``build`` makes it once in each task, and no call sees more than ``rows`` rows."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = build()
