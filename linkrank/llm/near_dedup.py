@@ -9,13 +9,19 @@ meet in a node of depth d with probability J**d in each tree, so T independent t
 are 19, which gives 2e-16, 3e-11, 1e-8 and 8e-7 for d = 1 to 4. The trees share one signature, so they are independent in
 part only: their roots have coordinates of their own, deeper nodes may choose those of another tree.
 
-Comparisons run in two rounds, so that a large group of copies costs no more than its size:
+Comparisons run in rounds, so that a large group of copies costs no more than its size:
 
 1. Every member of a node is paired with the node's pivot. The best pair of each class by signature is confirmed on the
    full sets, and components are found from these links.
-2. Nodes whose members are all in one component need no more work. In the others, members of different components
-   whose signatures agree enough are compared on the full sets, inside the task that holds the node. Nodes that are still large at the last depth are compared in
-   blocks: members outside the node's main component against everything, block by block, never in one task.
+2. Nodes whose members are all in one component need no more work. In the others, each member is paired with the member of
+   another component whose signature agrees most. Again the best pair of each class is confirmed, and components are
+   found anew.
+3. In nodes that still hold several components, members of different components whose signatures agree enough are
+   compared on the full sets, inside the task that holds the node.
+
+Nodes that are large at the last depth are worked off in blocks of ``BLOCK`` members, packed into one row each: members
+outside the node's main component against everything, block by block, never in one task. So n members make n / BLOCK
+rows for each block of members outside the main component.
 
 A signature agreement below ``Links.agree`` of ``WIDTH`` coordinates rejects a pair unseen; for a linked pair this happens
 with a probability of ``MISS_SIGNATURE`` at most (2e-6 at 0.85). Confirmation is exact, on the shingles of both whole texts.
@@ -26,9 +32,9 @@ shingle is one shingle; a null id has no component; repeated rows of an id are o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import functools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,14 +42,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkrank.llm.common import ensure_checkpoint_dir, map_arrow
+from linkrank.llm.common import Scratch, map_arrow
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union, unless other ``Links`` are given.
 PERCENT = 85
 WIDTH, DEPTH, LEAF = 64, 4, 64
 #: Members in one block of a node that stays large.
-BLOCK = 256
+BLOCK = 1024
+#: Shingles of the texts that are compared in one task; more are compared part by part.
+TEXT_SHINGLES = 500_000
+#: The largest classes of equal sets that are broadcast; each of the others has at most a share of 1 / HOT_CLASSES of all rows.
+HOT_CLASSES = 1000
 #: Limits of the chance that a linked pair meets in no tree, and that its signature rejects it.
 MISS_TREES, MISS_SIGNATURE = 1e-6, 5e-6
 #: Ids may be broadcast up to this number (8 bytes each); beyond it they are joined by a shuffle.
@@ -158,19 +168,19 @@ def _step(path: Column, sig: Column) -> Column:
     return F.xxhash64(path, _coordinate(sig, F.pmod(F.xxhash64(path, F.lit("choose")), F.lit(WIDTH)).cast("int")))
 
 
-def build_nodes(classes: DataFrame, links: Links = LINKS) -> tuple[DataFrame, DataFrame]:
+def build_nodes(classes: DataFrame, links: Links, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Branch (rep, sig) in all trees.
 
     Returns pairs (rep, pivot), distinct, of every node's members with its pivot, and members (path, rep, n) of the
-    nodes at which branching ends. n is the node's size.
+    nodes at which branching ends. n is the node's size. The pivot is the member of least (rep xor path).
     """
     level = classes.select("rep", F.explode(F.array([F.lit(t) for t in range(links.trees)])).alias("tree"), "sig").select("rep", F.xxhash64(F.lit("tree"), "tree", _coordinate(F.col("sig"), F.pmod("tree", F.lit(WIDTH)))).alias("path"))
     pairs, ended = [], []
     for depth in range(1, DEPTH + 1):
-        nodes = level.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))).alias("p")).where("n > 1").select("path", "n", F.col("p.rep").alias("pivot"))
+        mixed = F.col("rep").bitwiseXOR(F.col("path"))
+        nodes = level.groupBy("path").agg(F.count("*").alias("n"), F.min(mixed).alias("m")).where("n > 1").select("path", "n", F.col("m").bitwiseXOR(F.col("path")).alias("pivot"))
         # written before it is joined, so that the join stands alone in its stage and a hot node's members can be split
-        nodes = nodes.checkpoint()
-        members = level.join(nodes, "path").checkpoint()
+        members = scratch.keep(level.join(scratch.keep(nodes), "path"))
         pairs.append(members.where("rep <> pivot").select("rep", "pivot").distinct())
         last = depth == DEPTH
         ended.append((members if last else members.where(F.col("n") <= LEAF)).select("path", "rep", "n"))
@@ -180,8 +190,7 @@ def build_nodes(classes: DataFrame, links: Links = LINKS) -> tuple[DataFrame, Da
         if large.isEmpty():
             break
         level = large.join(classes, "rep").select("rep", _step(F.col("path"), F.col("sig")).alias("path"))
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return union(pairs).distinct(), union(ended)
+    return functools.reduce(DataFrame.unionByName, pairs).distinct(), functools.reduce(DataFrame.unionByName, ended)
 
 
 def _agreements(a: Column, b: Column) -> Column:
@@ -189,7 +198,7 @@ def _agreements(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(WIDTH - 1)), F.lit(0), lambda acc, i: acc + (_coordinate(a, i) == _coordinate(b, i)).cast("int"))
 
 
-def best_pairs(pairs: DataFrame, classes: DataFrame, links: Links = LINKS) -> DataFrame:
+def best_pairs(pairs: DataFrame, classes: DataFrame, links: Links) -> DataFrame:
     """Of each class, the pair (a, b) with the pivot whose signature agrees most."""
     own = classes.select("rep", F.col("sig").alias("s1"), F.col("n_shingles").alias("n1"))
     other = classes.select(F.col("rep").alias("pivot"), F.col("sig").alias("s2"), F.col("n_shingles").alias("n2"))
@@ -207,9 +216,9 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, links: Links = LINKS) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, links: Links, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose documents are linked, found on the shingles of their whole texts."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = _texts(docs, ids)
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -227,10 +236,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, links: Links = LINKS) -> DataFram
 
         return apply
 
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), build, "a long, b long", rows=200).checkpoint()
+    return scratch.keep(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), build, "a long, b long", rows=200))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(rep, comp) of every node of the links (a, b): comp is the smallest id reachable.
 
     Large-star and small-star steps alternate until nothing changes; each is one aggregation and one join over the links.
@@ -244,10 +253,10 @@ def components(links: DataFrame) -> DataFrame:
             return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
-    state = None
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    edges, state = scratch.keep(edges), None
     while True:
-        edges = star(star(edges, True), False).checkpoint()
+        edges = scratch.keep(star(star(edges, True), False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -256,50 +265,123 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("rep"), F.col("b").alias("comp")).unionByName(roots).distinct()
 
 
-def rest_links(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, limit: Links = LINKS) -> DataFrame:
-    """Links (a, b) between different components that meet in a node; as many as are needed to connect what is linked.
+def _mixed(members: DataFrame, classes: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(path, rep, n, comp) of the members of nodes that hold several components."""
+    info = classes.join(comps, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
+    tagged = scratch.keep(members.join(info, "rep"))
+    nodes = tagged.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("path")
+    return scratch.keep(tagged.join(scratch.keep(nodes), "path"))
+
+
+def _meetings(tagged: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFrame:
+    """(path, block, rows): what is compared in one task. A row of ``rows`` has rep, comp, outer and the columns of ``sketch``.
 
-    First the signatures of a node tell which members have a possible partner in another component; a pair that meets in
-    several nodes counts in the one of the smallest path only. Then the texts of these members come together and are
-    compared on their full sets. Both steps give at most one row for each member of a node; pairs stay inside.
+    A node of up to ``BLOCK`` members is one block. Of a larger one, the main component's members are dealt to blocks; so are the others (outer).
+    Each block of the main component meets each block of the others, and these meet each other; all pairs of different components lie in some block.
     """
-    info = classes.join(comps, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
-    tagged = members.join(info, "rep")
-    mixed = tagged.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("path").checkpoint()
-    tagged = tagged.join(mixed, "path").select("path", "rep", "n", "comp").checkpoint()
-    leaves = tagged.where(F.col("n") <= LEAF).select("path", F.lit("").alias("block"), F.lit(True).alias("outer"), "rep", "comp")
-    blocks = _blocks(tagged.where(F.col("n") > LEAF))
-    meeting = leaves if blocks is None else leaves.unionByName(blocks)
-    sketch = classes.select("rep", "n_shingles", "sig").join(tagged.groupBy("rep").agg(F.collect_set("path").alias("paths")), "rep")
-    row = F.struct("rep", "comp", "outer", "n_shingles", "sig", "paths")
-    groups = meeting.join(sketch, "rep").groupBy("path", "block").agg(F.collect_list(row).alias("rows"))
-    possible = map_arrow(groups.select("path", "block", "rows"), lambda: lambda batch: _possible(batch, limit), "path long, block string, rep long, comp long", rows=64).checkpoint()
-    ids = possible.select(F.col("rep").alias("doc_id")).distinct()
-    texts = _texts(docs, ids).select(F.col("doc_id").alias("rep"), "text")
-    together = possible.join(texts, "rep").groupBy("path", "block").agg(F.collect_list(F.struct("rep", "comp", "text")).alias("rows"))
-    return map_arrow(together.select("rows"), lambda: lambda batch: _compare(batch, limit), "a long, b long", rows=8).distinct().checkpoint()
+    row = F.struct(F.col("rep"), F.col("comp"), F.col("outer"), *(F.col(c) for c in sketch.columns if c != "rep"))
+    small = tagged.where(F.col("n") <= BLOCK).withColumn("outer", F.lit(True)).join(sketch, "rep").groupBy("path").agg(F.collect_list(row).alias("rows"))
+    small = small.select("path", F.lit("").alias("block"), "rows")
+    large = tagged.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return small
+    sizes = large.groupBy("path", "comp").agg(F.count("*").alias("c"))
+    nodes = sizes.groupBy("path").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("all"))
+    nodes = scratch.keep(nodes.select("path", F.col("x.comp").alias("main"), F.ceil(F.col("x.c") / BLOCK).cast("int").alias("mains"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("x.c")) / BLOCK)).cast("int").alias("outers")))
+    # such a node has more than BLOCK rows, so there are few; their number is checked all the same
+    nodes = F.broadcast(nodes) if nodes.count() <= MAX_BROADCAST_IDS // 4 else nodes
+    placed = large.join(nodes, "path").withColumn("outer", F.col("comp") != F.col("main"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", F.lit("block")), F.when(F.col("outer"), F.col("outers")).otherwise(F.col("mains"))).cast("int"))
+    packs = placed.join(sketch, "rep").groupBy("path", "outer", "own", "mains", "outers").agg(F.collect_list(row).alias("pack"))
+    name = lambda kind, i, j: F.concat(F.lit(kind), i.cast("string"), F.lit("-"), j.cast("string"))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("outers") - 1), lambda j: name("m", F.col("own"), j))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: name("m", i, F.col("own")))
+    with_outer = F.transform(F.sequence(F.lit(0), F.col("outers") - 1), lambda j: name("o", F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
+    dealt = packs.select("path", "pack", F.explode(F.when(F.col("outer"), F.concat(with_main, with_outer)).otherwise(of_main)).alias("block"))
+    return small.unionByName(dealt.groupBy("path", "block").agg(F.flatten(F.collect_list("pack")).alias("rows")))
+
+
+class _Node:
+    """The members of a block, as columns, and who of them may be linked to whom."""
+
+    def __init__(self, block: str, rows: list[dict], links: Links):
+        self.block, self.links, self.rows = block, links, rows
+        self.rep, self.comp, self.n = (np.array([r[k] for r in rows], np.int64) for k in ("rep", "comp", "n_shingles"))
+        self.outer = np.array([r["outer"] for r in rows])
+        self.sig = np.frombuffer(b"".join([r["sig"] for r in rows]), np.uint32).reshape(len(rows), WIDTH)
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each outer member: members of other components whose size and signature allow a link, and in how many coordinates they agree."""
+        for i in np.flatnonzero(self.outer).tolist():
+            fit = (self.comp != self.comp[i]) & (np.minimum(self.n, self.n[i]) * 100 >= np.maximum(self.n, self.n[i]) * self.links.percent)
+            if self.block.startswith("m"):
+                fit &= ~self.outer
+            at = np.flatnonzero(fit)
+            agree = (self.sig[at] == self.sig[i]).sum(axis=1)
+            enough = agree >= self.links.agree
+            if enough.any():
+                yield i, at[enough], agree[enough]
+
+
+def _best_partners(batch: pa.RecordBatch, links: Links) -> pa.RecordBatch:
+    """Of each member with a possible partner, the one whose signature agrees most: (a, b, agree)."""
+    out: list[tuple[int, int, int]] = []
+    for block, rows in zip(*(c.to_pylist() for c in batch.columns)):
+        node = _Node(block, rows, links)
+        best: dict[int, tuple[int, int]] = {}
+        for i, others, agree in node.partners():
+            # the others of a main block are looked at from here only
+            for member, partner, value in [(i, int(others[agree.argmax()]), int(agree.max()))] + [(j, i, v) for j, v in zip(others.tolist(), agree.tolist()) if not node.outer[j]]:
+                if value > best.get(member, (0, 0))[0]:
+                    best[member] = (value, partner)
+        out.extend((int(node.rep[i]), int(node.rep[j]), value) for i, (value, j) in best.items())
+    a, b, agree = zip(*out) if out else ((), (), ())
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.int32())], ["a", "b", "agree"])
+
+
+def partner_links(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, links: Links, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of classes with the member of another component that agrees most; one pair of each class is tried."""
+    meeting = _meetings(_mixed(members, classes, comps, scratch), classes.select("rep", "n_shingles", "sig"), scratch)
+    found = map_arrow(meeting.select("block", "rows"), lambda: lambda batch: _best_partners(batch, links), "a long, b long, agree int", rows=64)
+    best = found.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
+    return confirm(best, docs, links, scratch)
 
 
 def _possible(batch: pa.RecordBatch, links: Links) -> pa.RecordBatch:
-    """Members of nodes that have a possible partner: (path, block, rep, comp)."""
-    out: list[tuple[int, str, int, int]] = []
+    """Members of nodes that have a possible partner: (path, block, rep, comp). A pair that meets in several nodes counts in the one of the smallest path only."""
+    out: list[tuple[int, str, int, int, int]] = []
     for path, block, rows in zip(*(c.to_pylist() for c in batch.columns)):
-        rep, comp, n = (np.array([r[k] for r in rows], np.int64) for k in ("rep", "comp", "n_shingles"))
-        outer = np.array([r["outer"] for r in rows])
-        sig = np.frombuffer(b"".join([r["sig"] for r in rows]), np.uint32).reshape(len(rows), WIDTH)
+        node = _Node(block, rows, links)
         paths = [frozenset(r["paths"]) for r in rows]
         found = np.zeros(len(rows), bool)
-        for i in np.flatnonzero(outer).tolist():
-            fit = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * links.percent)
-            if block.startswith("m"):
-                fit &= ~outer
-            at = np.flatnonzero(fit)
-            for j in at[(sig[at] == sig[i]).sum(axis=1) >= links.agree].tolist():
+        for i, others, _ in node.partners():
+            for j in others.tolist():
                 if not (found[i] and found[j]) and min(paths[i] & paths[j]) == path:
                     found[i] = found[j] = True
-        out.extend((path, block, int(rep[i]), int(comp[i])) for i in np.flatnonzero(found))
-    path, block, rep, comp = zip(*out) if out else ((), (), (), ())
-    return pa.record_batch([pa.array(path, pa.int64()), pa.array(block, pa.string()), pa.array(rep, pa.int64()), pa.array(comp, pa.int64())], ["path", "block", "rep", "comp"])
+        out.extend((path, block, int(node.rep[i]), int(node.comp[i]), int(node.n[i])) for i in np.flatnonzero(found))
+    path, block, rep, comp, n = zip(*out) if out else ((), (), (), (), ())
+    return pa.record_batch([pa.array(path, pa.int64()), pa.array(block, pa.string()), *(pa.array(x, pa.int64()) for x in (rep, comp, n))], ["path", "block", "rep", "comp", "n"])
+
+
+def rest_links(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, links: Links, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between different components that meet in a node; as many as are needed to connect what is linked.
+
+    First the signatures of a node tell which members have a possible partner in another component. Then the texts of these members come together and are
+    compared on their full sets. Pairs stay inside a task.
+    """
+    tagged = _mixed(members, classes, comps, scratch)
+    sketch = classes.select("rep", "n_shingles", "sig").join(tagged.groupBy("rep").agg(F.collect_set("path").alias("paths")), "rep")
+    meeting = _meetings(tagged, sketch, scratch)
+    possible = scratch.keep(map_arrow(meeting.select("path", "block", "rows"), lambda: lambda batch: _possible(batch, links), "path long, block string, rep long, comp long, n long", rows=64))
+    # blocks of many or long texts in parts, each of which meets each
+    weights = possible.groupBy("path", "block").agg(F.ceil(F.sum("n") / TEXT_SHINGLES).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("rep", F.lit("part")), "parts").cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, own) * F.col("parts") + F.greatest(j, own))
+    parted = possible.join(weights, ["path", "block"]).select("path", "block", "rep", "comp", F.explode(meets).alias("part"))
+    ids = possible.select(F.col("rep").alias("doc_id")).distinct()
+    texts = _texts(docs, ids).select(F.col("doc_id").alias("rep"), "text")
+    together = parted.join(texts, "rep").groupBy("path", "block", "part").agg(F.collect_list(F.struct("rep", "comp", "text")).alias("rows"))
+    return scratch.keep(map_arrow(together.select("rows"), lambda: lambda batch: _compare(batch, links), "a long, b long", rows=8).distinct())
 
 
 def _compare(batch: pa.RecordBatch, links: Links) -> pa.RecordBatch:
@@ -334,46 +416,47 @@ def _compare(batch: pa.RecordBatch, links: Links) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _blocks(tagged: DataFrame) -> DataFrame | None:
-    """Members of large nodes in blocks: (path, block, outer, rep, comp).
-
-    The main component's members are dealt to blocks; so are the others (outer). Each block of the main component meets
-    each block of the others, and these meet each other; all pairs of different components lie in some block.
-    """
-    if tagged.isEmpty():
-        return None
-    sizes = tagged.groupBy("path", "comp").agg(F.count("*").alias("c"))
-    nodes = sizes.groupBy("path").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("all")).select("path", F.col("x.comp").alias("main"), F.ceil(F.col("x.c") / BLOCK).cast("int").alias("mains"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("x.c")) / BLOCK)).cast("int").alias("outers"))
-    placed = tagged.join(nodes, "path").withColumn("outer", F.col("comp") != F.col("main"))
-    own = F.pmod(F.xxhash64("rep", F.lit("block")), F.when(F.col("outer"), F.col("outers")).otherwise(F.col("mains"))).cast("int")
-    placed = placed.withColumn("own", own)
-    name = lambda kind, i, j: F.concat(F.lit(kind), i.cast("string"), F.lit("-"), j.cast("string"))
-    of_main = F.transform(F.sequence(F.lit(0), F.col("outers") - 1), lambda j: name("m", F.col("own"), j))
-    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: name("m", i, F.col("own")))
-    with_outer = F.transform(F.sequence(F.lit(0), F.col("outers") - 1), lambda j: name("o", F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
-    return placed.select("path", F.explode(F.when(F.col("outer"), F.concat(with_main, with_outer)).otherwise(of_main)).alias("block"), "outer", "rep", "comp")
-
-
-def find_components(docs: DataFrame, limit: Links = LINKS) -> DataFrame:
+def find_components(docs: DataFrame, links: Links = LINKS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    sketched = sketches(docs).checkpoint()
+    scratch = Scratch(docs.sparkSession)
+    sketched = scratch.keep(sketches(docs))
     full = sketched.where("sig is not null and doc_id is not null")
-    classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("d1", "d2", "n_shingles", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")).checkpoint()
-    pairs, members = build_nodes(classes.select("rep", "sig"), limit)
-    links = confirm(best_pairs(pairs, classes, limit), docs, limit)
-    comps = components(links)
-    more = rest_links(members, classes, comps, docs, limit)
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
-    merged = classes.join(comps, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
-    # only classes of several documents, or of linked ones, differ from their own document
-    out = sketched.select("doc_id", "n_shingles", "d1", "d2").join(merged, ["d1", "d2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    grouped = full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("x"), F.count("*").alias("size"))
+    classes = scratch.keep(grouped.select("d1", "d2", "n_shingles", "size", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")))
+    pairs, members = build_nodes(classes.select("rep", "sig"), links, scratch)
+    found = confirm(best_pairs(pairs, classes, links), docs, links, scratch)
+    comps = scratch.keep(components(found, scratch))
+    for further in (partner_links, rest_links):
+        more = further(members, classes, comps, docs, links, scratch)
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            comps = scratch.keep(components(found, scratch))
+    out = _labelled(sketched, classes.join(comps, "rep", "left").select("d1", "d2", "n_shingles", "size", "rep", F.coalesce("comp", "rep").alias("comp")))
+    # the result alone stays
+    result = out.checkpoint()
+    scratch.clear()
+    return result
+
+
+def _labelled(sketched: DataFrame, merged: DataFrame) -> DataFrame:
+    """The component of every row. Rows without a class are their own; so are classes of one document in no link, which need no join.
+
+    The largest classes are broadcast, ``HOT_CLASSES`` at most, so that no key of the other join has many rows.
+    """
+    key = ["d1", "d2", "n_shingles"]
+    named = merged.where("size > 1 or comp <> rep")
+    hot = named.orderBy(F.col("size").desc(), *key).limit(HOT_CLASSES).select(*key, F.col("comp").alias("hot"))
+    rows = sketched.select("doc_id", *key, F.col("sig").isNull().alias("bare")).join(F.broadcast(hot), key, "left")
+    cold = named.join(F.broadcast(hot.select(*key)), key, "left_anti").select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("n_shingles").alias("k3"), F.col("comp").alias("cold"))
+    # rows that need no other class go anywhere, where they meet nothing
+    apart = F.col("bare") | F.col("hot").isNotNull()
+    rows = rows.withColumn("k1", F.when(apart, F.xxhash64("doc_id", F.spark_partition_id())).otherwise(F.col("d1"))).withColumn("k2", F.col("d2")).withColumn("k3", F.when(apart, F.lit(-1).cast("long")).otherwise(F.col("n_shingles")))
+    out = rows.join(cold, ["k1", "k2", "k3"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("hot", "cold", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_duplicates(docs: DataFrame, limit: Links = LINKS) -> DataFrame:
+def drop_duplicates(docs: DataFrame, links: Links = LINKS) -> DataFrame:
     """The rows of ``docs`` that stand for their component (and those without an id), as they are."""
-    gone = find_components(docs, limit).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    gone = find_components(docs, links).where("not kept").select(F.col("doc_id").alias("__near_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__near_gone"], "left_anti")

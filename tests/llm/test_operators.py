@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linkrank.llm import bpe, decontaminate, html_extract, language_id, line_frequency, mil_quality, near_dedup, pseudonyms, registry, sharding, token_counts
+from linkrank.llm import bpe, common, decontaminate, html_extract, language_id, line_frequency, mil_quality, near_dedup, pseudonyms, registry, sharding, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, path string, bucket string"
 PROSE = "the quick brown fox jumps over the lazy dog while every small bird sings in a tall green tree near the old river bank"
@@ -420,6 +420,8 @@ def brute_components(rows):
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LEAF", 8)
     monkeypatch.setattr(near_dedup, "BLOCK", 6)
+    monkeypatch.setattr(near_dedup, "TEXT_SHINGLES", 600)
+    monkeypatch.setattr(near_dedup, "HOT_CLASSES", 1)
     rng = np.random.default_rng(9)
     vocabulary = [f"w{i}" for i in range(2000)]
     rows = []
@@ -436,6 +438,23 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     want = brute_components(rows)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.find_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert got == {i: (n, c, i == c) for i, (n, c) in want.items()}
+    # without the pairs with pivots and best partners, the comparison inside nodes finds the same
+    monkeypatch.setattr(near_dedup, "best_pairs", lambda pairs, classes, links: pairs.limit(0).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+    monkeypatch.setattr(near_dedup, "partner_links", lambda members, *_: members.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    again = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.find_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert again == got
+
+
+def test_blocks_of_a_large_node_stay_few(spark, monkeypatch):
+    """Rows of packed blocks grow with members / BLOCK for each outer block, and every pair of components meets."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 50)
+    rows = [(1, i, 600, 0 if i < 500 else i) for i in range(600)]
+    tagged = spark.createDataFrame(rows, "path long, rep long, n long, comp long")
+    sketch = tagged.select("rep", F.lit(1).alias("n_shingles"))
+    got = near_dedup._meetings(tagged, sketch, common.Scratch(spark)).collect()
+    assert len(got) == 10 * 2 + 3
+    met = {tuple(sorted((x["rep"], y["rep"]))) for r in got for x in r["rows"] if x["outer"] for y in r["rows"] if x["rep"] != y["rep"]}
+    assert {(a, b) for a, b in combinations(range(600), 2) if b >= 500} <= met
 
 
 def test_near_duplicates_of_odd_rows(odd, none):
@@ -454,7 +473,7 @@ def test_trees_meet_at_depth_and_have_their_own_roots(spark):
         one, other = rng.integers(0, 1 << 32, (2, near_dedup.WIDTH), dtype=np.uint32)
         other[at] = one[at]
         rows += [(2 * at, bytearray(one.tobytes())), (2 * at + 1, bytearray(other.tobytes()))]
-    pairs, _ = near_dedup.build_nodes(spark.createDataFrame(rows, "rep long, sig binary"))
+    pairs, _ = near_dedup.build_nodes(spark.createDataFrame(rows, "rep long, sig binary"), near_dedup.LINKS, common.Scratch(spark))
     assert {tuple(sorted(r)) for r in pairs.collect()} == {(2 * at, 2 * at + 1) for at in range(trees)}
 
 
@@ -480,7 +499,7 @@ def test_pipeline_drops_near_copies_from_eighty_percent(spark):
 
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    assert {(r["rep"], r["comp"]) for r in near_dedup.components(links).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+    assert {(r["rep"], r["comp"]) for r in near_dedup.components(links, common.Scratch(spark)).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
 
 
 # op7
