@@ -1,6 +1,6 @@
 """Stateful control of background work, with an injected clock: batch size, coalesced checkpoints, cache, request ids.
 
-The states are small and per stream; ``sized_batches`` and ``checkpoint_each`` bind them to a streaming query.
+The states are small and per stream; ``batch_sizes`` and ``checkpoint_each`` bind them to a query.
 """
 
 from __future__ import annotations
@@ -9,8 +9,11 @@ import math
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Batch sizes, idle time and slice budget in milliseconds, growth rule.
 SMALLEST, LARGEST, IDLE_MS, SLICE_MS, FAST_TO_GROW, STEP, FAST_SHARE = 4, 16, 2000, 150, 2, 2, 0.75
@@ -23,50 +26,90 @@ def clamp_size(value: float, low: int = SMALLEST, high: int = LARGEST) -> int:
     return low if not math.isfinite(value) else int(min(high, max(low, math.floor(value + 0.5))))
 
 
-@dataclass
-class BatchSize:
-    """Grows after fast slices, halves after a slow one, and is smallest while the writer is active, asks, or memory is short."""
+class Event(NamedTuple):
+    """Something that happened at ``at``: ``active`` (the writer did something), ``ask`` (a batch is wanted, of ``most`` at most),
+    ``done`` (``done`` of ``asked`` took ``took`` milliseconds) or ``failed``. ``pending``: a query waits; ``memory``: share in use."""
+
+    kind: str
+    at: float = 0.0
+    asked: int = 0
+    done: int = 0
+    took: float = 0.0
+    pending: bool = False
+    memory: float = 0.0
+    most: int = LARGEST
+
+
+class Pace(NamedTuple):
+    """Size of the next batch, the largest size known to be quick enough, quick slices in a row, and the writer's last activity."""
 
-    learned: int = SMALLEST
     size: int = SMALLEST
-    fast: int = 0
+    learned: int = SMALLEST
+    quick: int = 0
     active_at: float = 0.0
 
-    def _rest(self) -> None:
-        self.size, self.fast = SMALLEST, 0
-
-    def activity(self, now: float) -> None:
-        if math.isfinite(now):
-            self.active_at = now
-            self._rest()
-
-    def constrained(self, now: float, pending: bool = False, memory: float = 0.0) -> bool:
-        return pending or memory >= MEMORY_LIMIT or now - self.active_at < IDLE_MS
-
-    def next(self, now: float, pending: bool = False, memory: float = 0.0, most: int = LARGEST) -> int:
-        if self.constrained(now, pending, memory):
-            self._rest()
-        elif self.size < self.learned:
-            self.size = min(LARGEST, self.learned, self.size + 2 * STEP)
-        return min(self.size, max(1, most))
-
-    def success(self, now: float, asked: int, done: int, took_ms: float, pending: bool = False, memory: float = 0.0) -> None:
-        if self.constrained(now, pending, memory):
-            self._rest()
-        elif took_ms > SLICE_MS:
-            self.size, self.fast = max(SMALLEST, min(self.size, asked) // 2), 0
-            self.learned = clamp_size(self.size)
-        elif done < asked:
-            self.fast = 0
-        else:
-            self.learned = max(self.learned, clamp_size(asked))
-            self.fast = self.fast + 1 if took_ms <= FAST_SHARE * SLICE_MS else 0
-            if self.fast == FAST_TO_GROW:
-                self.size, self.fast = min(LARGEST, max(self.size, asked) + STEP), 0
-
-    def failure(self) -> None:
-        self._rest()
-        self.learned = SMALLEST
+
+def held_back(pace: Pace, event: Event) -> bool:
+    return event.pending or event.memory >= MEMORY_LIMIT or event.at - pace.active_at < IDLE_MS
+
+
+#: What an event makes of the pace: the first row whose kind and condition hold. No row: it stays.
+TRANSITIONS: tuple[tuple[str, Callable[[Pace, Event], bool], Callable[[Pace, Event], Pace]], ...] = (
+    ("active", lambda p, e: math.isfinite(e.at), lambda p, e: Pace(learned=p.learned, active_at=e.at)),
+    ("failed", lambda p, e: True, lambda p, e: Pace(active_at=p.active_at)),
+    ("ask", held_back, lambda p, e: p._replace(size=SMALLEST, quick=0)),
+    ("ask", lambda p, e: p.size < p.learned, lambda p, e: p._replace(size=min(LARGEST, p.learned, p.size + 2 * STEP))),
+    ("done", held_back, lambda p, e: p._replace(size=SMALLEST, quick=0)),
+    ("done", lambda p, e: e.took > SLICE_MS, lambda p, e: (lambda half: p._replace(size=half, learned=clamp_size(half), quick=0))(max(SMALLEST, min(p.size, e.asked) // 2))),
+    ("done", lambda p, e: e.done < e.asked, lambda p, e: p._replace(quick=0)),
+    ("done", lambda p, e: e.took > FAST_SHARE * SLICE_MS, lambda p, e: _known(p, e)._replace(quick=0)),
+    ("done", lambda p, e: p.quick + 1 < FAST_TO_GROW, lambda p, e: _known(p, e)._replace(quick=p.quick + 1)),
+    ("done", lambda p, e: True, lambda p, e: _known(p, e)._replace(quick=0, size=min(LARGEST, max(p.size, e.asked) + STEP))),
+)
+
+
+def _known(pace: Pace, event: Event) -> Pace:
+    return pace._replace(learned=max(pace.learned, clamp_size(event.asked)))
+
+
+def after(pace: Pace, event: Event) -> Pace:
+    return next((then(pace, event) for kind, when, then in TRANSITIONS if kind == event.kind and when(pace, event)), pace)
+
+
+def allowed(pace: Pace, event: Event) -> int:
+    """The size that an ``ask`` gets, given the pace after it."""
+    return min(pace.size, max(1, event.most))
+
+
+def batch_sizes(events: DataFrame, start: Pace = Pace()) -> DataFrame:
+    """(stream, at, position, kind, size) of every event of (stream, position, *Event fields), folded by stream in order of (at, position).
+
+    A batch query sees each stream's events at once. A streaming query keeps the pace of each stream between its batches, and takes
+    events in the order in which batches bring them.
+    """
+    names = [f for f in Event._fields]
+    schema = "stream string, at double, position long, kind string, size int"
+
+    def fold(key, rows: pd.DataFrame, pace: Pace) -> tuple[pd.DataFrame, Pace]:
+        rows = rows.sort_values(["at", "position"], kind="stable")
+        sizes = []
+        for values in rows[names].itertuples(index=False):
+            event = Event(*values)
+            pace = after(pace, event)
+            sizes.append(allowed(pace, event))
+        return pd.DataFrame({"stream": key[0], "at": rows["at"], "position": rows["position"], "kind": rows["kind"], "size": pd.Series(sizes, index=rows.index, dtype="int32")}), pace
+
+    grouped = events.select(F.col("stream").cast("string"), F.col("position").cast("long"), *names).groupBy("stream")
+    if not events.isStreaming:
+        return grouped.applyInPandas(lambda key, rows: fold(key, rows, start)[0], schema)
+
+    def keep(key, parts, state):
+        pace = Pace(*state.get) if state.exists else start
+        rows, pace = fold(key, pd.concat(list(parts)), pace)
+        state.update(tuple(pace))
+        yield rows
+
+    return grouped.applyInPandasWithState(keep, schema, "size int, learned int, quick int, active_at double", "append", "NoTimeout")
 
 
 @dataclass

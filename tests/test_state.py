@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from linkrank.operators import context, incremental
 from linkrank.sources import snapshot
 from linkrank.streaming import control
@@ -22,16 +24,46 @@ def test_contexts(spark):
     assert [r["anchor_text"] for r in context.contexts(rows).collect()] == ["First"]
 
 
+EVENT = "stream string, position long, kind string, at double, asked int, done int, took double, pending boolean, memory double, most int"
+
+
+def paced(start, *events):
+    """The paces after each event."""
+    out = []
+    for e in events:
+        start = control.after(start, e)
+        out.append(start)
+    return out
+
+
 def test_batch_size():
-    c = control.BatchSize(active_at=-5000.0)
-    for now in range(4):
-        n = c.next(now)
-        c.success(now, n, n, 50)
-    assert c.next(5) == 8
-    c.success(6, 8, 8, 500)
-    assert c.size == 4 and c.learned == 4
-    c.activity(7)
-    assert c.next(8) == 4 and control.clamp_size(float("nan")) == 4 and control.clamp_size(99) == 16
+    ask, quick = control.Event("ask", 5.0), control.Event("done", 5.0, 4, 4, 50.0)
+    idle = control.Pace(active_at=-5000.0)
+    one, two = paced(idle, quick, quick)
+    assert (one.size, one.quick) == (4, 1) and (two.size, two.quick) == (6, 0)
+    learned = control.after(two, control.Event("done", 6.0, 12, 12, 120.0))
+    assert (learned.learned, learned.quick) == (12, 0) and control.after(learned, ask).size == 10  # four steps towards what is known
+    slow = control.after(learned._replace(size=12), control.Event("done", 7.0, 12, 12, 500.0))
+    assert (slow.size, slow.learned) == (6, 6) and control.after(slow, control.Event("failed")).learned == 4
+    assert control.after(learned, control.Event("done", 7.0, 12, 5, 50.0)) == learned._replace(quick=0)
+    for held in (ask._replace(pending=True), ask._replace(memory=0.85), ask._replace(at=-3001.0)):
+        assert control.after(learned, held).size == 4
+    assert control.after(learned, control.Event("active", 9.0)) == control.Pace(4, 12, 0, 9.0) and control.after(learned, control.Event("active", float("nan"))) == learned
+    assert control.allowed(learned, ask._replace(most=3)) == 3 and control.allowed(learned, ask._replace(most=0)) == 1
+    assert control.clamp_size(float("nan")) == 4 and control.clamp_size(99) == 16
+
+
+def test_batch_sizes_of_streams(spark, tmp_path):
+    rows = [(s, i, "done" if i % 2 else "ask", 3000.0 + i, 4, 4, 50.0, False, 0.0, 16) for s in ("a", "b") for i in range(6)]
+    events = spark.createDataFrame(rows, EVENT)
+    got = {(r["stream"], r["position"]): r["size"] for r in control.batch_sizes(events).collect()}
+    assert got == {(s, i): n for s in ("a", "b") for i, n in enumerate([4, 4, 4, 6, 6, 6])}
+    for k in (0, 1):
+        events.where(F.col("position").between(3 * k, 3 * k + 2)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = control.batch_sizes(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("sizes").start()
+    query.processAllAvailable()
+    query.stop()
+    assert {(r["stream"], r["position"]): r["size"] for r in spark.table("sizes").collect()} == got
 
 
 def test_checkpoint_requests_cache():
