@@ -45,6 +45,24 @@ def context_hash(text: Column) -> Column:
     return F.lower(F.conv(_lane(_units(text), *LANE_1).cast("string"), 10, 36))
 
 
+#: Parts of a request's key, in order.
+REQUEST = ("file_path", "document_version", "anchor_start", "anchor_end", "anchor_text", "context_hash", "mode")
+
+
+def request_key(**parts: Column) -> Column:
+    """The parts of a request as a JSON array, in order."""
+    of = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), "^\\{\"x\":(.*)\\}$", 1)
+    return F.concat(F.lit("["), F.concat_ws(",", *[of(parts[name]) for name in REQUEST]), F.lit("]"))
+
+
+def valid_request(**parts: Column) -> Column:
+    """True for a request whose parts fit each other: a range of whole numbers that is as long as the anchor's text."""
+    p = parts
+    length = F.octet_length(F.encode(p["anchor_text"], "UTF-16BE")) / 2
+    ok = (p["file_path"] != "") & (p["document_version"] >= 0) & (p["anchor_start"] >= 0) & (p["anchor_end"] > p["anchor_start"]) & (length == p["anchor_end"] - p["anchor_start"]) & (p["context_hash"] != "") & p["mode"].isin("automatic", "manual")
+    return F.coalesce(ok, F.lit(False))
+
+
 def hash_text_py(text: str) -> str:
     """The same as :func:`hash_text` for one string on the driver or in a Python function."""
     raw = text.encode("utf-16-be", "surrogatepass")

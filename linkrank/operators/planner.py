@@ -31,6 +31,32 @@ def batch_plan(inputs: DataFrame, width: int = BUCKET_WIDTH, size: int = BATCH_S
     return placed.select("bucket", F.floor(F.col("place") / size).alias("batch"), "id", "tokens")
 
 
+def checked_plan(inputs: DataFrame, width: int = BUCKET_WIDTH, size: int = BATCH_SIZE) -> DataFrame:
+    """:func:`batch_plan`, where inputs without a sound estimate (null, not positive) count as one token."""
+    return batch_plan(inputs.withColumn("tokens", F.when(F.col("tokens") >= 1, F.col("tokens")).otherwise(F.lit(1)).cast("long")), width, size)
+
+
+def device_class(cores: Column) -> Column:
+    """Devices by their number of cores; unknown without a finite one."""
+    n = F.greatest(F.lit(1), F.floor(cores))
+    known = F.when(n <= 2, "1-2").when(n <= 4, "3-4").when(n <= 8, "5-8").otherwise("9+")
+    return F.when(cores.isNull() | F.isnan(cores) | (F.abs(cores) == float("inf")), "unknown").otherwise(known)
+
+
+def thread_candidates(cores: Column) -> Column:
+    """Numbers of threads to try, 0 meaning automatic: as many as the device has cores for."""
+    sure = F.coalesce(~F.isnan(cores) & (F.abs(cores) < float("inf")), F.lit(False))
+    return F.filter(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(4)), lambda t: (t <= 1) | (sure & (t <= F.floor(cores))))
+
+
+def tuning_compatible(stored: dict[str, Column], current: dict[str, Column]) -> Column:
+    """True if a stored choice of threads holds on: model, runtime and device class are the same. Null fits nothing."""
+    out = F.lit(True)
+    for name in ("model_revision", "runtime_version", "device_class"):
+        out = out & F.coalesce(stored[name] == current[name], F.lit(False))
+    return out
+
+
 def batch_stats(plan: DataFrame) -> DataFrame:
     return plan.groupBy("bucket", "batch").agg(F.count("*").alias("inputs"), F.sum("tokens").alias("total_tokens"), F.max("tokens").alias("max_tokens"), (F.max("tokens") * F.count("*")).alias("padded_tokens"))
 

@@ -36,15 +36,26 @@ def case_metrics(cases: DataFrame, ranking: DataFrame, relevant: DataFrame) -> D
 
 
 def report(metrics: DataFrame, by: list[str]) -> DataFrame:
-    """Macro means in total and by each grouping column: (scope, name, cases, recall_5, recall_10, mrr_5, ndcg_5, irrelevant_rate).
+    """Macro means in total and by each grouping column: (scope, name, cases, recall_5, recall_10, mrr_5, ndcg_5, exact_rate, semantic_rate, irrelevant_rate).
 
-    The rate of irrelevant suggestions is pooled over all suggestions. Figures have four digits.
+    exact_rate: of cases with an exact target, those that have it first; semantic_rate: of the category semantic-only, those with a
+    relevant target among five; both are 1 without such cases. The rate of irrelevant suggestions is pooled over all suggestions. Figures have four digits.
     """
-    sets = ", ".join(["()", *(f"({c})" for c in by)])
-    scope = "CASE " + " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in by) + " ELSE 'total' END"
-    name = f"coalesce({', '.join(f'CAST({c} AS STRING)' for c in by)}, '')"
-    metrics.createOrReplaceTempView("_case_metrics")
-    sums = metrics.sparkSession.sql(
-        f"SELECT {scope} AS scope, {name} AS name, count(*) AS cases, avg(r5) AS recall_5, avg(r10) AS recall_10, avg(rr) AS mrr_5, avg(ndcg) AS ndcg_5, coalesce(try_divide(sum(wrong), sum(shown)), 0.0) AS irrelevant_rate FROM _case_metrics GROUP BY GROUPING SETS ({sets})"
-    )
-    return sums.select("scope", "name", "cases", *[T.round_half_up(F.col(c), 4).alias(c) for c in ("recall_5", "recall_10", "mrr_5", "ndcg_5", "irrelevant_rate")])
+    has = lambda c: F.col(c) if c in metrics.columns else F.lit(None).cast("string")
+    exact, semantic = has("exact_target").isNotNull(), has("category") == "semantic-only"
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    rate = lambda part, whole, none: F.coalesce(F.try_divide(part, whole), F.lit(none))
+    figures = {
+        "recall_5": F.avg("r5"), "recall_10": F.avg("r10"), "mrr_5": F.avg("rr"), "ndcg_5": F.avg("ndcg"),
+        "exact_rate": rate(count(exact & (F.col("top") == has("exact_target"))), count(exact), 1.0),
+        "semantic_rate": rate(count(semantic & (F.col("r5") > 0)), count(semantic), 1.0),
+        "irrelevant_rate": rate(F.sum("wrong"), F.sum("shown"), 0.0),
+    }
+    keys = [F.col(c) for c in by]
+    told = F.lit("total")
+    name = F.lit("")
+    for c in by:
+        told = F.when(F.grouping(c) == 0, F.lit(c)).otherwise(told)
+        name = F.when(F.grouping(c) == 0, F.col(c).cast("string")).otherwise(name)
+    sums = metrics.groupingSets([[], *[[k] for k in keys]], *keys).agg(told.alias("scope"), name.alias("name"), F.count("*").alias("cases"), *[f.alias(k) for k, f in figures.items()])
+    return sums.select("scope", "name", "cases", *[T.round_half_up(F.col(c), 4).alias(c) for c in figures])

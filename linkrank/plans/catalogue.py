@@ -31,6 +31,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from linkrank.plans import inventory, maintenance, operations, retrieval, suggestions  # noqa: F401
+    from linkrank.plans import inventory, maintenance, operations, retrieval, suggestions, upkeep  # noqa: F401
 
     return QUERIES, SQL
