@@ -48,9 +48,12 @@ def collapse(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """Compatibility decomposition, lower case, no marks, one form of alef, letters and digits separated by single spaces."""
-    parts = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(text, F.lit("")), F.lit(True))
-    bare = F.regexp_replace(F.lower(parts), "\\p{M}+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "[ٱأإآ]", "ا"), "[^\\p{L}\\p{N}]+", " "))
+    given = F.coalesce(text, F.lit(""))
+    parts = F.lower(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), given, F.lit(True)))
+    bare = F.regexp_replace(F.regexp_replace(parts, "\\p{M}+", ""), "[ٱأإآ]", "ا")
+    # nothing of this concerns ASCII, which a text of as many bytes as characters is
+    plain = F.when(F.octet_length(given) == F.char_length(given), F.lower(given)).otherwise(bare)
+    return F.trim(F.regexp_replace(plain, "[^\\p{L}\\p{N}]+", " "))
 
 
 def words(normal: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkrank.functions import text as T
+from linkrank.sources.snapshot import ensure_checkpoint_dir
 
 KINDS = ("title", "alias", "heading", "tag", "body")
 CONTEXT_TERMS = 16
@@ -131,10 +132,12 @@ def body_scores(posting: DataFrame, terms: DataFrame) -> DataFrame:
 
 def search(notes: DataFrame, queries: DataFrame) -> DataFrame:
     """Ranked notes of each query: query_id, rank, target_path, target_title, target_heading, score, match_kinds, preview."""
-    live = live_queries(queries)
+    ensure_checkpoint_dir(notes.sparkSession)
+    # written once: queries and fields are read by several joins below
+    live = live_queries(queries).checkpoint()
     terms = query_terms(live)
-    index = index_notes(notes)
-    labels = labels_of(index)
+    fields = with_token_sets(index_notes(notes).drop("body")).checkpoint()
+    labels = labels_of(fields)
     posting = postings(notes, small(terms.select("term").distinct()))
     body = body_scores(posting, terms)
     exact = labels.where("field <> 'heading'").join(live.select("query_id", F.col("anchor").alias("norm")), "norm").select("query_id", "path")
@@ -145,15 +148,16 @@ def search(notes: DataFrame, queries: DataFrame) -> DataFrame:
         F.max(F.when(F.col("field") == "heading", F.struct("sim", (-F.col("pos")).alias("p"), "text"))).alias("heading_best"),
     )
     pairs = body.select("query_id", "path").unionByName(exact).unionByName(gram_candidates(labels, live)).distinct()
-    # the bodies of notes stay behind: previews are joined to the winners
-    fields = with_token_sets(index.drop("body"))
     x = pairs.join(live.select("query_id", "anchor", "source_path", "limit", "minimum_score", F.array_distinct(T.tokens(F.col("anchor_text"))).alias("a")), "query_id").where("path <> source_path")
     x = x.join(fields, "path").join(best, ["query_id", "path"], "left").join(body, ["query_id", "path"], "left")
     scored = score_pairs(x)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("exact_rank").desc(), "title", "path"))
     # the score leads the order, so lower scores may be dropped after ranking: a filter before would be pushed into the signals
     top = scored.withColumn("rank", rank).where((F.col("rank") <= F.col("limit")) & (F.col("score") > 0) & (F.col("score") >= F.col("minimum_score")))
-    shown = top.join(notes.select("path", T.preview(F.col("body")).alias("body_preview")), "path", "left")
+    # previews are made for the winners alone
+    top = top.drop("title_terms", "alias_terms", "tag_terms", "heading_terms").checkpoint()
+    bodies = notes.select("path", "body").join(small(top.select("path").distinct()), "path", "left_semi")
+    shown = top.join(bodies.select("path", T.preview(F.col("body")).alias("body_preview")), "path", "left")
     return shown.select("query_id", "rank", F.col("path").alias("target_path"), F.col("title").alias("target_title"), "target_heading", "score", "match_kinds", F.coalesce(F.concat(F.lit("Heading: "), F.col("target_heading")), F.col("body_preview")).alias("preview"))
 
 

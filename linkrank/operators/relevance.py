@@ -11,7 +11,7 @@ from linkrank.functions import text as T
 def case_metrics(cases: DataFrame, ranking: DataFrame, relevant: DataFrame) -> DataFrame:
     """``cases`` with the metrics of each case.
 
-    cases: case_id and any grouping columns, exact_target if there is one; ranking: case_id, target, rank from 1;
+    cases: case_id and any grouping columns, exact_target and category if :func:`report` is to tell their rates; ranking: case_id, target, rank from 1;
     relevant: case_id, target, gain. A case without relevant targets, or without a ranking, has zeros.
     """
     ideal_rank = F.expr("row_number() OVER (PARTITION BY case_id ORDER BY gain DESC)")
@@ -35,6 +35,25 @@ def case_metrics(cases: DataFrame, ranking: DataFrame, relevant: DataFrame) -> D
     return out
 
 
+def counted_metrics(cases: DataFrame, hits: DataFrame, counts: DataFrame) -> DataFrame:
+    """:func:`case_metrics` of equal gains, without a row for each relevant target.
+
+    hits: case_id, target, rank from 1, relevant (boolean), each target once a case; counts: case_id, relevant (how many targets would be right).
+    """
+    good = F.col("relevant") & (F.col("rank") <= 5)
+    discount = 1.0 / F.log2(F.col("rank") + 1)
+    per = hits.groupBy("case_id").agg(
+        F.count(F.when(good, 1)).alias("hits_5"), F.count(F.when(F.col("relevant") & (F.col("rank") <= 10), 1)).alias("hits_10"), F.min(F.when(good, F.col("rank"))).alias("first"), F.sum(F.when(good, discount).otherwise(0.0)).alias("dcg"),
+        F.count(F.when(~F.col("relevant") & (F.col("rank") <= 5), 1)).alias("wrong"), F.count(F.when(F.col("rank") <= 5, 1)).alias("shown"), F.max(F.when(F.col("rank") == 1, F.col("target"))).alias("top"),
+    )
+    x = cases.join(counts.select("case_id", F.col("relevant").alias("__n")), "case_id", "left").join(per, "case_id", "left")
+    n = F.coalesce("__n", F.lit(0))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.lit(0.0), lambda acc, i: acc + F.when(i <= n, 1.0 / F.log2(i + 1)).otherwise(0.0))
+    share = lambda part, whole: F.when(whole > 0, F.coalesce(part, F.lit(0)) / whole).otherwise(0.0)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return x.select(*cases.columns, share(F.col("hits_5"), n).alias("r5"), share(F.col("hits_10"), n).alias("r10"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"), share(F.col("dcg"), ideal).alias("ndcg"), zero("wrong").alias("wrong"), zero("shown").alias("shown"), "top")
+
+
 def report(metrics: DataFrame, by: list[str]) -> DataFrame:
     """Macro means in total and by each grouping column: (scope, name, cases, recall_5, recall_10, mrr_5, ndcg_5, exact_rate, semantic_rate, irrelevant_rate).
 

@@ -23,13 +23,6 @@ def query(sql: str | None = None):
     return add
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's folder; a session without one (tests) gets its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-
-
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     from linkrank.plans import inventory, maintenance, operations, retrieval, suggestions, upkeep  # noqa: F401
 

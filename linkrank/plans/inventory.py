@@ -74,13 +74,13 @@ def search_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH o AS (SELECT DISTINCT doc_id, unnest({tok('text')}) AS term FROM documents WHERE doc_id % 2 = 0), n AS (SELECT DISTINCT doc_id, unnest({tok("replace(text, 'the', 'tho')")}) AS term FROM documents WHERE doc_id % 3 = 0),
-    p AS (SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) UNION ALL SELECT * FROM n) SELECT term, count(*) AS df FROM p GROUP BY term"""
+    f"""WITH o AS (SELECT DISTINCT doc_id, unnest({tok('text')}) AS term FROM documents WHERE coalesce(lang, '') NOT IN ('fr', 'de')), n AS (SELECT DISTINCT doc_id, unnest({tok("replace(text, 'the', 'tho')")}) AS term FROM documents WHERE lang = 'de'),
+    p AS (SELECT * FROM o UNION ALL SELECT * FROM n) SELECT term, count(*) AS df FROM p GROUP BY term"""
 )
 def posting_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings of even documents after every third document has been written anew; a removed term keeps no row."""
+    """Postings of all documents after those of one language have gone and those of another been written anew; a removed term keeps no row."""
     d = tables.read(spark, sf_dir, "documents")
     terms = lambda df, text: df.select("doc_id", F.explode_outer(F.array_distinct(T.tokens(text))).alias("term")).where("term is not null")
-    fresh = d.where("doc_id % 3 = 0")
-    old = terms(d.where("doc_id % 2 = 0"), F.col("text")).join(fresh.select("doc_id"), "doc_id", "left_anti")
+    gone, fresh = d.where("lang = 'fr'").select("doc_id"), d.where("lang = 'de'")
+    old = terms(d, F.col("text")).join(gone.unionByName(fresh.select("doc_id")), "doc_id", "left_anti")
     return old.unionByName(terms(fresh, F.replace("text", F.lit("the"), F.lit("tho")))).groupBy("term").agg(F.count("*").alias("df"))

@@ -46,15 +46,16 @@ def render_wikilink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("path", T.wikilink(F.regexp_replace("path", "\\.md$", ""), F.get("headings", F.lit(0)), F.col("title")).alias("link"))
 
 
-GENERATIONS = """o AS (SELECT doc_id, doc_id AS modified_at, md5(text) AS content_hash FROM documents WHERE doc_id % 7 <> 0),
-n AS (SELECT doc_id, doc_id + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS modified_at, md5(text || CASE WHEN doc_id % 6 = 0 THEN 'x' ELSE '' END) AS content_hash FROM documents WHERE doc_id % 5 <> 0)"""
+GENERATIONS = """o AS (SELECT doc_id, doc_id AS modified_at, md5(text) AS content_hash FROM documents WHERE coalesce(source, '') <> 'src1'),
+n AS (SELECT doc_id, doc_id + CASE WHEN lang IN ('de', 'es') THEN 1 ELSE 0 END AS modified_at, md5(text || CASE WHEN lang = 'de' THEN 'x' ELSE '' END) AS content_hash FROM documents WHERE coalesce(source, '') <> 'src2')"""
 
 
 def _generations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """An old and a new state of the documents: some are gone, some added, some touched, some changed."""
-    d = tables.read(spark, sf_dir, "documents")
-    old = d.where("doc_id % 7 <> 0").select("doc_id", F.col("doc_id").alias("modified_at"), F.md5(F.col("text").cast("binary")).alias("content_hash"))
-    new = d.where("doc_id % 5 <> 0").select("doc_id", (F.col("doc_id") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("modified_at"), F.md5(F.concat("text", F.when(F.col("doc_id") % 6 == 0, "x").otherwise("")).cast("binary")).alias("content_hash"))
+    """An old and a new state of the documents: a source has gone, another come; a language was touched, another changed."""
+    d = tables.read(spark, sf_dir, "documents").withColumn("of", F.coalesce("source", F.lit("")))
+    old = d.where("of <> 'src1'").select("doc_id", F.col("doc_id").alias("modified_at"), F.md5(F.col("text").cast("binary")).alias("content_hash"))
+    touched, changed = F.col("lang").isin("de", "es"), F.col("lang") == "de"
+    new = d.where("of <> 'src2'").select("doc_id", (F.col("doc_id") + F.when(touched, 1).otherwise(0)).alias("modified_at"), F.md5(F.concat("text", F.when(changed, "x").otherwise("")).cast("binary")).alias("content_hash"))
     return old, new
 
 

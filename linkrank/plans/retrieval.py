@@ -248,9 +248,11 @@ def query_context_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
            floor(coalesce(sum(wrong) / nullif(sum(shown), 0), 0) * 10000 + 0.5) / 10000 AS irrelevant_rate FROM c GROUP BY GROUPING SETS ((), (label))"""
 )
 def relevance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = tables.read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"))
-    ranking = _top(spark, sf_dir).select(F.col("query_id").alias("case_id"), F.col("chunk_id").cast("string").alias("target"), "rank")
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("case_id"), F.col("label").alias("category"))
-    relevant = asked.join(v.select(F.col("label").alias("category"), F.col("vec_id").alias("t")), "category").where("case_id <> t").select("case_id", F.col("t").cast("string").alias("target"), F.lit(1.0).alias("gain"))
-    report = relevance.report(relevance.case_metrics(asked, ranking, relevant), ["category"])
+    v = tables.read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("category"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("case_id"), "category")
+    shown = _top(spark, sf_dir).select(F.col("query_id").alias("case_id"), "chunk_id", "rank")
+    hits = shown.join(v.select(F.col("vec_id").alias("chunk_id"), F.col("category").alias("own")), "chunk_id").join(asked, "case_id")
+    hits = hits.select("case_id", F.col("chunk_id").cast("string").alias("target"), "rank", (F.col("own") == F.col("category")).alias("relevant"))
+    counts = asked.join(v.groupBy("category").agg((F.count("*") - 1).alias("relevant")), "category").select("case_id", "relevant")
+    report = relevance.report(relevance.counted_metrics(asked, hits, counts), ["category"])
     return report.select(F.when(F.col("scope") == "category", "label").otherwise("total").alias("scope"), "name", "cases", "recall_5", "recall_10", "mrr_5", "ndcg_5", "irrelevant_rate")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +19,37 @@ PARTS = ("documents", "chunks", "vectors")
 MAX_LOG_RECORDS = 10_000
 
 
-def _fs(spark: SparkSession, path: str):
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Keep the session's ``spark.checkpoint.dir``. Without one, a single-machine session gets a temporary folder; a cluster is refused."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+
+
+def hadoop(spark: SparkSession, path: str):
+    """File system and path of a location, and the JVM."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p, _ = _fs(spark, path)
+    fs, p, _ = hadoop(spark, path)
     return fs.exists(p)
 
 
 def delete(spark: SparkSession, path: str) -> bool:
-    fs, p, _ = _fs(spark, path)
+    fs, p, _ = hadoop(spark, path)
     return fs.delete(p, True)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    fs, p, jvm = _fs(spark, path)
+    fs, p, jvm = hadoop(spark, path)
     if not fs.exists(p):
         return None
     stream = fs.open(p)
@@ -46,16 +60,20 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside the target and rename, so that a reader sees all or nothing."""
-    fs, p, jvm = _fs(spark, path)
+    """Write beside the target and rename over it, so that a reader sees the old text or the new one."""
+    fs, p, jvm = hadoop(spark, path)
     beside = jvm.org.apache.hadoop.fs.Path(path + ".next")
     out = fs.create(beside, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(p, False)
-    fs.rename(beside, p)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    whole = fs.makeQualified(p)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(beside), whole, options)
 
 
 def integrity(spark: SparkSession, path: str) -> dict:
@@ -66,7 +84,7 @@ def integrity(spark: SparkSession, path: str) -> dict:
 
 
 def generations(spark: SparkSession, root: str) -> list[int]:
-    fs, p, _ = _fs(spark, root)
+    fs, p, _ = hadoop(spark, root)
     if not fs.exists(p):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(p)]
@@ -134,3 +152,66 @@ def log_entries(records: DataFrame) -> DataFrame:
     up = records.select("sequence", F.lit("upsert").alias("op"), F.explode("delta.upserts").alias("u")).select("sequence", "op", "u.path", "u.value")
     gone = records.select("sequence", F.lit("remove").alias("op"), F.explode("delta.removals").alias("path")).withColumn("value", F.lit(None).cast("string"))
     return up.unionByName(gone)
+
+
+# The log as a folder: a header that says what it belongs to, and a file for each record. Object stores can't append.
+
+
+def _record_name(sequence: int) -> str:
+    return f"record-{sequence:08d}.json"
+
+
+def _sequences(spark: SparkSession, root: str) -> list[int]:
+    fs, p, _ = hadoop(spark, root)
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[7:15]) for n in names if re.fullmatch(r"record-\d{8}\.json", n))
+
+
+def log_identity(spark: SparkSession, root: str) -> dict | None:
+    """What the log belongs to, by its header; None without a sound one."""
+    try:
+        header = json.loads(read_text(spark, f"{root}/header.json") or "null")
+    except ValueError:
+        return None
+    return header["identity"] if isinstance(header, dict) and header.get("schemaVersion") == SCHEMA_VERSION and "identity" in header else None
+
+
+def append_log(spark: SparkSession, root: str, identity: dict, created_at: int, delta: dict) -> int:
+    """Append a record and return its sequence; a log of another identity is begun anew, an empty delta appends nothing (0)."""
+    if not delta.get("removals") and not delta.get("upserts"):
+        return 0
+    if log_identity(spark, root) != identity:
+        delete(spark, root)
+        write_text(spark, f"{root}/header.json", json.dumps({"schemaVersion": SCHEMA_VERSION, "identity": identity}, sort_keys=True))
+    have = _sequences(spark, root)
+    if len(have) >= MAX_LOG_RECORDS:
+        raise ValueError(f"the log has {MAX_LOG_RECORDS} records; write a generation and clear it")
+    number = (have[-1] if have else 0) + 1
+    write_text(spark, f"{root}/{_record_name(number)}", log_record(number, created_at, delta))
+    return number
+
+
+def open_log(spark: SparkSession, root: str, identity: dict) -> tuple[DataFrame, int]:
+    """(records up to the first that is unsound, number of records dropped). A log of another identity is dropped whole.
+
+    What is dropped is deleted, so the next record follows the last sound one.
+    """
+    from linkrank.operators.incremental import valid_prefix
+
+    have = _sequences(spark, root)
+    empty = spark.createDataFrame([], f"sequence long, created_at long, delta {PAYLOAD.split('delta ')[1]}, valid boolean")
+    if log_identity(spark, root) != identity:
+        delete(spark, root)
+        return empty, len(have)
+    if not have:
+        return empty, 0
+    records = read_log(spark, f"{root}/record-*.json")
+    last = valid_prefix(records).agg({"sequence": "max"}).first()[0] or 0
+    broken = [n for n in have if n > last]
+    for n in broken:
+        delete(spark, f"{root}/{_record_name(n)}")
+    return records.where(F.col("sequence") <= last), len(broken)
+
+
+def clear_log(spark: SparkSession, root: str) -> bool:
+    return delete(spark, root)
