@@ -205,12 +205,11 @@ def open_log(spark: SparkSession, root: str, identity: dict) -> tuple[DataFrame,
         return empty, len(have)
     if not have:
         return empty, 0
-    records = read_log(spark, f"{root}/record-*.json")
-    last = valid_prefix(records).agg({"sequence": "max"}).first()[0] or 0
+    last = valid_prefix(read_log(spark, f"{root}/record-*.json")).agg({"sequence": "max"}).first()[0] or 0
     broken = [n for n in have if n > last]
     for n in broken:
         delete(spark, f"{root}/{_record_name(n)}")
-    return records.where(F.col("sequence") <= last), len(broken)
+    return (read_log(spark, f"{root}/record-*.json") if last else empty), len(broken)
 
 
 def clear_log(spark: SparkSession, root: str) -> bool:
