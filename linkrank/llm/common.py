@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_BYTES = 32 << 20
 #: Rows and bytes of a batch that a Python worker is handed; a longer row comes alone.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Rows of ids and hashes that are worth a task, and the fewest tasks of any step.
+TASK_ROWS, LEAST_TASKS = 50_000, 12
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder)
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of so many ``rows`` at most, in tasks of ``TASK_ROWS`` rows each; with so many that they suffice already, it stays as it is."""
+    return df.coalesce(LEAST_TASKS + rows // TASK_ROWS)
+
+
 class Scratch:
     """Tables written to a folder of their own beside the checkpoints, so that lineage ends there, and removed when they have served."""
 
@@ -42,10 +49,12 @@ class Scratch:
         ensure_checkpoint_dir(spark)
         self.spark, self.folder, self.tables = spark, f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write and read back. With a bound of its ``rows``, which ``count`` of another kept table may give without a job of note, a
+        small table is written by few tasks."""
         self.tables += 1
         path = f"{self.folder}/{self.tables}"
-        df.write.parquet(path)
+        (df if rows is None else dealt(df, rows)).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkrank.llm.common import Scratch, map_arrow
+from linkrank.llm.common import Scratch, dealt, map_arrow
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union, unless other ``Links`` are given.
@@ -52,6 +52,8 @@ WIDTH, DEPTH, LEAF = 64, 4, 64
 BLOCK = 1024
 #: Shingles of the texts that are compared in one task; more are compared part by part.
 TEXT_SHINGLES = 500_000
+#: A row with texts, and one with a signature, count as so many rows of ids.
+TEXT_ROWS, SKETCH_ROWS = 100, 5
 #: The largest classes of equal sets that are broadcast; each of the others has at most a share of 1 / HOT_CLASSES of all rows.
 HOT_CLASSES = 1000
 #: Limits of the chance that a linked pair meets in no tree, and that its signature rejects it.
@@ -175,19 +177,19 @@ def build_nodes(classes: DataFrame, links: Links, scratch: Scratch) -> tuple[Dat
     nodes at which branching ends. n is the node's size. The pivot is the member of least (rep xor path).
     """
     level = classes.select("rep", F.explode(F.array([F.lit(t) for t in range(links.trees)])).alias("tree"), "sig").select("rep", F.xxhash64(F.lit("tree"), "tree", _coordinate(F.col("sig"), F.pmod("tree", F.lit(WIDTH)))).alias("path"))
+    most = classes.count() * links.trees
     pairs, ended = [], []
     for depth in range(1, DEPTH + 1):
         mixed = F.col("rep").bitwiseXOR(F.col("path"))
         nodes = level.groupBy("path").agg(F.count("*").alias("n"), F.min(mixed).alias("m")).where("n > 1").select("path", "n", F.col("m").bitwiseXOR(F.col("path")).alias("pivot"))
         # written before it is joined, so that the join stands alone in its stage and a hot node's members can be split
-        members = scratch.keep(level.join(scratch.keep(nodes), "path"))
-        pairs.append(members.where("rep <> pivot").select("rep", "pivot").distinct())
+        members = scratch.keep(level.join(scratch.keep(nodes, most), "path"), most)
+        pairs.append(members.where("rep <> pivot").select("rep", "pivot"))
         last = depth == DEPTH
         ended.append((members if last else members.where(F.col("n") <= LEAF)).select("path", "rep", "n"))
-        if last:
-            break
         large = members.where(F.col("n") > LEAF).select("path", "rep")
-        if large.isEmpty():
+        most = 0 if last else large.count()
+        if not most:
             break
         level = large.join(classes, "rep").select("rep", _step(F.col("path"), F.col("sig")).alias("path"))
     return functools.reduce(DataFrame.unionByName, pairs).distinct(), functools.reduce(DataFrame.unionByName, ended)
@@ -202,25 +204,27 @@ def best_pairs(pairs: DataFrame, classes: DataFrame, links: Links) -> DataFrame:
     """Of each class, the pair (a, b) with the pivot whose signature agrees most."""
     own = classes.select("rep", F.col("sig").alias("s1"), F.col("n_shingles").alias("n1"))
     other = classes.select(F.col("rep").alias("pivot"), F.col("sig").alias("s2"), F.col("n_shingles").alias("n2"))
-    both = pairs.join(own, "rep").join(other, "pivot").where(_sizes_fit(F.col("n1"), F.col("n2"), links)).select("rep", "pivot", _agreements(F.col("s1"), F.col("s2")).alias("agree")).where(F.col("agree") >= links.agree)
-    return both.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("p"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.p")).alias("b"))
+    most = classes.count()
+    both = dealt(dealt(pairs, most * links.trees).join(own, "rep").join(other, "pivot"), most * links.trees).where(_sizes_fit(F.col("n1"), F.col("n2"), links)).select("rep", "pivot", _agreements(F.col("s1"), F.col("s2")).alias("agree")).where(F.col("agree") >= links.agree)
+    return dealt(both.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("p"))).alias("x")), most).select(F.col("rep").alias("a"), (-F.col("x.p")).alias("b"))
 
 
 def _sizes_fit(n1: Column, n2: Column, links: Links) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * links.percent
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of some documents; the ids are broadcast if they are counted to be few, else joined by a shuffle."""
-    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+def _texts(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(doc_id, text) of some documents; ids that are counted to be few (``most``) are broadcast, others joined by a shuffle."""
+    few = most <= MAX_BROADCAST_IDS
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, links: Links, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose documents are linked, found on the shingles of their whole texts."""
-    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = _texts(docs, ids)
+def confirm(pairs: DataFrame, docs: DataFrame, links: Links, scratch: Scratch, most: int) -> DataFrame:
+    """The pairs (a, b), ``most`` at most, whose documents are linked, found on the shingles of their whole texts."""
+    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), most)
+    most = pairs.count()
+    ids = dealt(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 2 * most)
+    texts = _texts(docs, ids, 2 * most)
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
     def build():
@@ -236,41 +240,55 @@ def confirm(pairs: DataFrame, docs: DataFrame, links: Links, scratch: Scratch) -
 
         return apply
 
-    return scratch.keep(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), build, "a long, b long", rows=200))
+    return scratch.keep(map_arrow(dealt(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), most * TEXT_ROWS), build, "a long, b long", rows=200))
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(rep, comp) of every node of the links (a, b): comp is the smallest id reachable.
 
-    Large-star and small-star steps alternate until nothing changes; each is one aggregation and one join over the links.
+    Large-star and small-star steps alternate until every child has one parent, which is no child itself; each is one
+    aggregation and one join over the links.
     """
+    edges = scratch.keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), links.count())
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, most: int) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")) if large else both.groupBy("a").agg(F.min("b").alias("m"))
-        joined = both.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")) if large else both.groupBy("a").agg(F.min("b").alias("m"))
+        joined = dealt(both.join(least, "a"), most)
         if large:
-            return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+            joined = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            joined = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
+        return dealt(joined.where("a <> b").distinct(), most)
 
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges, state = scratch.keep(edges), None
     while True:
-        edges = scratch.keep(star(star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        most = 2 * edges.count()
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("child")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("child")))
+        roles = dealt(ends.groupBy("x").agg(F.sum("child").alias("parents"), F.min("child").alias("leaf")), most)
+        if not most or roles.where("parents > 1 or (parents = 1 and leaf = 0)").isEmpty():
             break
-        state = now
+        edges = scratch.keep(star(star(edges, True, most), False, most), most)
     roots = edges.select(F.col("b").alias("rep"), F.col("b").alias("comp"))
     return edges.select(F.col("a").alias("rep"), F.col("b").alias("comp")).unionByName(roots).distinct()
 
 
+def merged(comps: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """``comps`` after further links (a, b): components of the components that these join. A node that is in no component yet is its own."""
+    of = lambda end: comps.select(F.col("rep").alias(end), F.col("comp").alias("c" + end))
+    most = more.count()
+    lifted = dealt(more.join(of("a"), "a", "left").join(of("b"), "b", "left"), most).select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = scratch.keep(components(lifted.where("a <> b"), scratch), 2 * most)
+    every = comps.unionByName(new.select("rep", F.col("rep").alias("comp"))).distinct()
+    return every.join(new.select(F.col("rep").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp"))
+
+
 def _mixed(members: DataFrame, classes: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """(path, rep, n, comp) of the members of nodes that hold several components."""
     info = classes.join(comps, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
-    tagged = scratch.keep(members.join(info, "rep"))
+    most = members.count()
+    tagged = scratch.keep(members.join(info, "rep"), most)
     nodes = tagged.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("path")
-    return scratch.keep(tagged.join(scratch.keep(nodes), "path"))
+    return scratch.keep(tagged.join(scratch.keep(nodes, most), "path"), most)
 
 
 def _meetings(tagged: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFrame:
@@ -280,14 +298,15 @@ def _meetings(tagged: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFra
     Each block of the main component meets each block of the others, and these meet each other; all pairs of different components lie in some block.
     """
     row = F.struct(F.col("rep"), F.col("comp"), F.col("outer"), *(F.col(c) for c in sketch.columns if c != "rep"))
-    small = tagged.where(F.col("n") <= BLOCK).withColumn("outer", F.lit(True)).join(sketch, "rep").groupBy("path").agg(F.collect_list(row).alias("rows"))
-    small = small.select("path", F.lit("").alias("block"), "rows")
+    small = dealt(tagged.where(F.col("n") <= BLOCK).withColumn("outer", F.lit(True)).join(sketch, "rep"), tagged.count() * SKETCH_ROWS)
+    small = dealt(small.groupBy("path").agg(F.collect_list(row).alias("rows")), tagged.count() * SKETCH_ROWS).select("path", F.lit("").alias("block"), "rows")
     large = tagged.where(F.col("n") > BLOCK)
-    if large.isEmpty():
+    most = large.count()
+    if not most:
         return small
     sizes = large.groupBy("path", "comp").agg(F.count("*").alias("c"))
     nodes = sizes.groupBy("path").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("all"))
-    nodes = scratch.keep(nodes.select("path", F.col("x.comp").alias("main"), F.ceil(F.col("x.c") / BLOCK).cast("int").alias("mains"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("x.c")) / BLOCK)).cast("int").alias("outers")))
+    nodes = scratch.keep(nodes.select("path", F.col("x.comp").alias("main"), F.ceil(F.col("x.c") / BLOCK).cast("int").alias("mains"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("x.c")) / BLOCK)).cast("int").alias("outers")), most // BLOCK)
     # such a node has more than BLOCK rows, so there are few; their number is checked all the same
     nodes = F.broadcast(nodes) if nodes.count() <= MAX_BROADCAST_IDS // 4 else nodes
     placed = large.join(nodes, "path").withColumn("outer", F.col("comp") != F.col("main"))
@@ -297,8 +316,8 @@ def _meetings(tagged: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFra
     of_main = F.transform(F.sequence(F.lit(0), F.col("outers") - 1), lambda j: name("m", F.col("own"), j))
     with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: name("m", i, F.col("own")))
     with_outer = F.transform(F.sequence(F.lit(0), F.col("outers") - 1), lambda j: name("o", F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
-    dealt = packs.select("path", "pack", F.explode(F.when(F.col("outer"), F.concat(with_main, with_outer)).otherwise(of_main)).alias("block"))
-    return small.unionByName(dealt.groupBy("path", "block").agg(F.flatten(F.collect_list("pack")).alias("rows")))
+    meeting = packs.select("path", "pack", F.explode(F.when(F.col("outer"), F.concat(with_main, with_outer)).otherwise(of_main)).alias("block"))
+    return small.unionByName(meeting.groupBy("path", "block").agg(F.flatten(F.collect_list("pack")).alias("rows")))
 
 
 class _Node:
@@ -344,7 +363,7 @@ def partner_links(members: DataFrame, classes: DataFrame, comps: DataFrame, docs
     meeting = _meetings(_mixed(members, classes, comps, scratch), classes.select("rep", "n_shingles", "sig"), scratch)
     found = map_arrow(meeting.select("block", "rows"), lambda: lambda batch: _best_partners(batch, links), "a long, b long, agree int", rows=64)
     best = found.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
-    return confirm(best, docs, links, scratch)
+    return confirm(best, docs, links, scratch, classes.count())
 
 
 def _possible(batch: pa.RecordBatch, links: Links) -> pa.RecordBatch:
@@ -378,10 +397,11 @@ def rest_links(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: D
     own = F.pmod(F.xxhash64("rep", F.lit("part")), "parts").cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, own) * F.col("parts") + F.greatest(j, own))
     parted = possible.join(weights, ["path", "block"]).select("path", "block", "rep", "comp", F.explode(meets).alias("part"))
-    ids = possible.select(F.col("rep").alias("doc_id")).distinct()
-    texts = _texts(docs, ids).select(F.col("doc_id").alias("rep"), "text")
+    most = possible.count()
+    ids = dealt(possible.select(F.col("rep").alias("doc_id")).distinct(), most)
+    texts = _texts(docs, ids, most).select(F.col("doc_id").alias("rep"), "text")
     together = parted.join(texts, "rep").groupBy("path", "block", "part").agg(F.collect_list(F.struct("rep", "comp", "text")).alias("rows"))
-    return scratch.keep(map_arrow(together.select("rows"), lambda: lambda batch: _compare(batch, links), "a long, b long", rows=8).distinct())
+    return scratch.keep(map_arrow(dealt(together.select("rows"), most * TEXT_ROWS), lambda: lambda batch: _compare(batch, links), "a long, b long", rows=8))
 
 
 def _compare(batch: pa.RecordBatch, links: Links) -> pa.RecordBatch:
@@ -422,15 +442,14 @@ def find_components(docs: DataFrame, links: Links = LINKS) -> DataFrame:
     sketched = scratch.keep(sketches(docs))
     full = sketched.where("sig is not null and doc_id is not null")
     grouped = full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("x"), F.count("*").alias("size"))
-    classes = scratch.keep(grouped.select("d1", "d2", "n_shingles", "size", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")))
+    classes = scratch.keep(grouped.select("d1", "d2", "n_shingles", "size", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")), sketched.count() * SKETCH_ROWS)
     pairs, members = build_nodes(classes.select("rep", "sig"), links, scratch)
-    found = confirm(best_pairs(pairs, classes, links), docs, links, scratch)
-    comps = scratch.keep(components(found, scratch))
+    most = classes.count()
+    comps = scratch.keep(components(confirm(best_pairs(pairs, classes, links), docs, links, scratch, most), scratch), most)
     for further in (partner_links, rest_links):
         more = further(members, classes, comps, docs, links, scratch)
-        if not more.isEmpty():
-            found = found.unionByName(more)
-            comps = scratch.keep(components(found, scratch))
+        if more.count():
+            comps = scratch.keep(merged(comps, more, scratch), most)
     out = _labelled(sketched, classes.join(comps, "rep", "left").select("d1", "d2", "n_shingles", "size", "rep", F.coalesce("comp", "rep").alias("comp")))
     # the result alone stays
     result = out.checkpoint()
@@ -438,13 +457,13 @@ def find_components(docs: DataFrame, links: Links = LINKS) -> DataFrame:
     return result
 
 
-def _labelled(sketched: DataFrame, merged: DataFrame) -> DataFrame:
+def _labelled(sketched: DataFrame, found: DataFrame) -> DataFrame:
     """The component of every row. Rows without a class are their own; so are classes of one document in no link, which need no join.
 
     The largest classes are broadcast, ``HOT_CLASSES`` at most, so that no key of the other join has many rows.
     """
     key = ["d1", "d2", "n_shingles"]
-    named = merged.where("size > 1 or comp <> rep")
+    named = found.where("size > 1 or comp <> rep")
     hot = named.orderBy(F.col("size").desc(), *key).limit(HOT_CLASSES).select(*key, F.col("comp").alias("hot"))
     rows = sketched.select("doc_id", *key, F.col("sig").isNull().alias("bare")).join(F.broadcast(hot), key, "left")
     cold = named.join(F.broadcast(hot.select(*key)), key, "left_anti").select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("n_shingles").alias("k3"), F.col("comp").alias("cold"))

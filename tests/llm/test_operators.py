@@ -499,7 +499,13 @@ def test_pipeline_drops_near_copies_from_eighty_percent(spark):
 
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    assert {(r["rep"], r["comp"]) for r in near_dedup.components(links, common.Scratch(spark)).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+    scratch = common.Scratch(spark)
+    comps = near_dedup.components(links, scratch)
+    assert {(r["rep"], r["comp"]) for r in comps.collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+    more = spark.createDataFrame([(60, 101), (200, 100), (300, 301), (5, 6)], "a long, b long")
+    got = {(r["rep"], r["comp"]) for r in near_dedup.merged(comps, more, scratch).collect()}
+    assert got == {(i, 0) for i in [*range(61), 100, 101, 200]} | {(300, 300), (301, 300)}
+    assert near_dedup.components(links.where("false"), scratch).count() == 0
 
 
 # op7
