@@ -15,6 +15,8 @@ from linkrank.sources.snapshot import ensure_checkpoint_dir
 
 KINDS = ("title", "alias", "heading", "tag", "body")
 CONTEXT_TERMS = 16
+#: The least similarity of a label that counts (headings need a little more).
+LEAST_SIMILARITY = 0.55
 MAX_BROADCAST_ROWS = 200_000
 
 
@@ -53,7 +55,7 @@ def body_terms(notes: DataFrame) -> DataFrame:
 
 
 def postings(notes: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(term, path, tf) of terms of any field; tf counts the body. ``only`` (term) restricts the terms before anything is shuffled."""
+    """(term, path, tf, least) of terms of any field; tf counts the body, least is 0 for a term of a label. ``only`` (term) restricts the terms before anything is shuffled."""
     fields = with_token_sets(index_notes(notes))
     labels = F.array_union(F.array_union(F.array_distinct("own_title_terms"), F.col("alias_terms")), F.array_union(F.col("heading_terms"), F.col("tag_terms")))
     body = F.transform(F.slice(T.tokens(F.col("body")), 1, T.MAX_BODY_TOKENS), lambda t: F.struct(t.alias("term"), F.lit(1).alias("n")))
@@ -61,7 +63,7 @@ def postings(notes: DataFrame, only: DataFrame | None = None) -> DataFrame:
     flat = fields.select("path", F.explode_outer(F.concat(body, other)).alias("x")).select("path", "x.term", "x.n").where("term is not null")
     if only is not None:
         flat = flat.join(only, "term", "left_semi")
-    return flat.groupBy("term", "path").agg(F.sum("n").alias("tf"))
+    return flat.groupBy("term", "path").agg(F.sum("n").alias("tf"), F.min("n").alias("least"))
 
 
 def document_frequency(posting: DataFrame) -> DataFrame:
@@ -101,33 +103,54 @@ def gram_candidates(labels: DataFrame, queries: DataFrame) -> DataFrame:
 def label_similarity(labels: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, norm, sim) of distinct labels that share an n-gram with the anchor; multisets of n-grams by width."""
 
-    def grams(df: DataFrame, key: list[str], norm: str) -> DataFrame:
-        both = F.array(*[F.struct(F.lit(w).alias("w"), T.ngrams(F.col(norm), w).alias("gs")) for w in (2, 3)])
-        flat = df.select(*key, F.char_length(norm).alias("len"), F.explode(both).alias("x")).select(*key, "len", "x.w", F.size("x.gs").alias("size"), F.explode("x.gs").alias("gram"))
-        return flat.groupBy(*key, "len", "w", "size", "gram").agg(F.count("*").alias("c"))
+    def grams(df: DataFrame, key: list[str], norm: str, meets: Column) -> DataFrame:
+        # ``meets``: the widths that are needed, each with the kind of label (short or not) that it is compared in
+        flat = df.select(*key, F.explode(meets).alias("m")).select(*key, "m.w", "m.short", F.when(F.col("m.w") == 2, T.ngrams(F.col(norm), 2)).otherwise(T.ngrams(F.col(norm), 3)).alias("gs"))
+        return flat.select(*key, "w", "short", F.size("gs").alias("size"), F.explode("gs").alias("gram")).groupBy(*key, "w", "short", "size", "gram").agg(F.count("*").alias("c"))
 
+    meet = lambda w, short: F.struct(F.lit(w).alias("w"), F.lit(short).alias("short"))
+    brief = lambda c: F.char_length(c) < 5
+    # pairs of which one is short are compared by two letters, others by three
     asked = queries.select("query_id", "anchor")
-    left = grams(asked, ["query_id", "anchor"], "anchor")
-    right = grams(labels.select("norm").distinct().where("norm <> ''"), ["norm"], "norm")
-    right = right.join(small(left.select("w", "gram").distinct()), ["w", "gram"], "left_semi")
-    a, b = left.select("query_id", "anchor", F.col("len").alias("la"), "w", F.col("size").alias("sa"), "gram", F.col("c").alias("ca")), right.select("norm", F.col("len").alias("lb"), "w", F.col("size").alias("sb"), "gram", F.col("c").alias("cb"))
-    met = a.join(b, ["w", "gram"]).where(F.col("w") == F.when(F.least("la", "lb") < 5, 2).otherwise(3))
+    left = grams(asked, ["query_id", "anchor"], "anchor", F.when(brief("anchor"), F.array(meet(2, True), meet(2, False))).otherwise(F.array(meet(2, True), meet(3, False))))
+    some_brief = F.lit(asked.where(brief("anchor")).limit(1).count() > 0)
+    of_label = F.when(brief("norm"), F.array(meet(2, True))).when(some_brief, F.array(meet(2, False), meet(3, False))).otherwise(F.array(meet(3, False)))
+    right = grams(labels.select("norm").distinct().where("norm <> ''"), ["norm"], "norm", of_label)
+    key = ["w", "short", "gram"]
+    right = right.join(small(left.select(*key).distinct()), key, "left_semi")
+    met = left.select("query_id", "anchor", *key, F.col("size").alias("sa"), F.col("c").alias("ca")).join(right.select("norm", *key, F.col("size").alias("sb"), F.col("c").alias("cb")), key)
     sums = met.groupBy("query_id", "anchor", "norm", "sa", "sb").agg(F.sum(F.least("ca", "cb")).alias("common"))
     return sums.select("query_id", "norm", F.when(F.col("anchor") == F.col("norm"), 1.0).otherwise(2.0 * F.col("common") / (F.col("sa") + F.col("sb"))).alias("sim"))
 
 
 def body_scores(posting: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, path, body_score) of every note that has a term of the query in any field."""
+    """(query_id, path, body_score, labelled) of every note that has a term of the query in any field; labelled if a label has one of the anchor's."""
     rarity = F.when(F.col("df").isNull(), 1.0).otherwise(1.0 / F.sqrt("df"))
     weighed = terms.join(document_frequency(posting), "term", "left").withColumn("w", F.col("weight") * (0.5 + rarity))
     totals = weighed.groupBy("query_id").agg(F.sum("w").alias("total"))
     boost = 1.0 + F.least(F.lit(0.2), F.log1p("tf") * 0.06)
     hit = F.col("tf") > 0
     met = posting.join(weighed, "term").groupBy("query_id", "path").agg(
-        F.sum(F.when(hit, F.col("w") * boost).otherwise(0.0)).alias("matched"), F.sum(hit.cast("int")).alias("n"), F.sum((hit & (F.col("weight") == 2)).cast("int")).alias("anchors")
+        F.sum(F.when(hit, F.col("w") * boost).otherwise(0.0)).alias("matched"), F.sum(hit.cast("int")).alias("n"), F.sum((hit & (F.col("weight") == 2)).cast("int")).alias("anchors"),
+        F.max((F.col("weight") == 2) & (F.col("least") == 0)).alias("labelled"),
     )
     score = F.when((F.col("n") == 0) | ((F.col("anchors") == 0) & (F.col("n") < 2)), 0.0).otherwise(0.48 + F.least(F.lit(0.25), 0.28 * F.col("matched") / F.col("total")))
-    return met.join(totals, "query_id").select("query_id", "path", score.alias("body_score"))
+    return met.join(totals, "query_id").select("query_id", "path", score.alias("body_score"), "labelled")
+
+
+def body_winners(body: DataFrame, asked: DataFrame, fields: DataFrame) -> DataFrame:
+    """(query_id, path) of notes that a query meets by their body alone, as far as they can be among its best.
+
+    What has no other signal is ranked by the body's score, so the first ``limit`` of them are enough: each task keeps as many, and
+    only these are shuffled. A label that begins with the anchor, or a title made of the file's name, is a signal of its own.
+    """
+    most = asked.agg(F.max("limit")).first()[0] or 0
+    x = body.where("body_score > 0").join(F.broadcast(asked) if asked.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else asked, "query_id").where("path <> source_path")
+    x = x.join(fields.select("path", "title", "n_title", "n_aliases", "title_terms"), "path")
+    begins = (F.char_length("anchor") >= 3) & (F.startswith("n_title", F.col("anchor")) | F.exists("n_aliases", lambda al: F.startswith(al, F.col("anchor"))))
+    x = x.select("query_id", "path", "title", T.round_half_up(F.col("body_score"), 3).alias("s"), (begins | F.arrays_overlap("a", "title_terms")).alias("more"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc(), "title", "path"))
+    return x.where("more").select("query_id", "path").unionByName(x.where("not more").withColumn("n", rank).where(F.col("n") <= most).select("query_id", "path"))
 
 
 def search(notes: DataFrame, queries: DataFrame) -> DataFrame:
@@ -138,18 +161,22 @@ def search(notes: DataFrame, queries: DataFrame) -> DataFrame:
     terms = query_terms(live)
     fields = with_token_sets(index_notes(notes).drop("body")).checkpoint()
     labels = labels_of(fields)
-    posting = postings(notes, small(terms.select("term").distinct()))
-    body = body_scores(posting, terms)
+    posting = postings(notes, small(terms.select("term").distinct())).checkpoint()
+    body = body_scores(posting, terms).checkpoint()
     exact = labels.where("field <> 'heading'").join(live.select("query_id", F.col("anchor").alias("norm")), "norm").select("query_id", "path")
-    sims = label_similarity(labels, live)
-    best = labels.join(sims, "norm").groupBy("query_id", "path").agg(
+    # lower similarities are no signal
+    sims = label_similarity(labels, live).where(F.col("sim") >= LEAST_SIMILARITY).checkpoint()
+    best = labels.join(small(sims), "norm").groupBy("query_id", "path").agg(
         F.max(F.when(F.col("field") == "title", F.col("sim"))).alias("title_sim"),
         F.max(F.when(F.col("field") == "alias", F.col("sim"))).alias("alias_sim"),
         F.max(F.when(F.col("field") == "heading", F.struct("sim", (-F.col("pos")).alias("p"), "text"))).alias("heading_best"),
-    )
-    pairs = body.select("query_id", "path").unionByName(exact).unionByName(gram_candidates(labels, live)).distinct()
-    x = pairs.join(live.select("query_id", "anchor", "source_path", "limit", "minimum_score", F.array_distinct(T.tokens(F.col("anchor_text"))).alias("a")), "query_id").where("path <> source_path")
-    x = x.join(fields, "path").join(best, ["query_id", "path"], "left").join(body, ["query_id", "path"], "left")
+    ).checkpoint()
+    asked = live.select("query_id", "anchor", "source_path", "limit", "minimum_score", F.array_distinct(T.tokens(F.col("anchor_text"))).alias("a"))
+    named = body.where("labelled").select("query_id", "path").unionByName(exact).unionByName(gram_candidates(labels, live))
+    similar = best.select("query_id", "path").join(body.select("query_id", "path"), ["query_id", "path"], "left_semi")
+    pairs = named.unionByName(similar).unionByName(body_winners(body.where("not labelled"), asked, fields)).distinct()
+    x = pairs.join(asked, "query_id").where("path <> source_path")
+    x = x.join(fields, "path").join(best, ["query_id", "path"], "left").join(body.drop("labelled"), ["query_id", "path"], "left")
     scored = score_pairs(x)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("exact_rank").desc(), "title", "path"))
     # the score leads the order, so lower scores may be dropped after ranking: a filter before would be pushed into the signals
@@ -177,8 +204,8 @@ def score_pairs(x: DataFrame) -> DataFrame:
         when(F.array_contains("n_tags", anchor), 0.82).alias("s4"),
         when(long & F.startswith("n_title", anchor), 0.91).alias("s5"),
         when(long & F.exists("n_aliases", lambda al: F.startswith(al, anchor)), 0.90).alias("s6"),
-        when(F.coalesce("title_sim", F.lit(0.0)) >= 0.55, 0.56 + 0.34 * F.col("title_sim")).alias("s7"),
-        when(F.coalesce("alias_sim", F.lit(0.0)) >= 0.55, 0.55 + 0.34 * F.col("alias_sim")).alias("s8"),
+        when(F.coalesce("title_sim", F.lit(0.0)) >= LEAST_SIMILARITY, 0.56 + 0.34 * F.col("title_sim")).alias("s7"),
+        when(F.coalesce("alias_sim", F.lit(0.0)) >= LEAST_SIMILARITY, 0.55 + 0.34 * F.col("alias_sim")).alias("s8"),
         when(heading_sim >= 0.58, 0.54 + 0.34 * heading_sim).alias("s9"),
         when(coverage("title_terms") > 0, 0.58 + 0.25 * coverage("title_terms")).alias("s10"),
         when(coverage("alias_terms") > 0, 0.57 + 0.24 * coverage("alias_terms")).alias("s11"),

@@ -159,7 +159,7 @@ def lex_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lex_body_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = lexical.query_terms(lexical.live_queries(tables.note_queries(spark, sf_dir)))
     posting = lexical.postings(tables.notes(spark, sf_dir), lexical.small(terms.select("term").distinct()))
-    return lexical.body_scores(posting, terms).withColumn("body_score", T.round_half_up(F.col("body_score"), 6))
+    return lexical.body_scores(posting, terms).select("query_id", "path", T.round_half_up(F.col("body_score"), 6).alias("body_score"))
 
 
 LEXICAL = f"WITH {NOTES}, {ASKED}, {POSTINGS}, {BODY}, {LABELS}, {GRAM_CANDIDATES}, {SIMS}, {SEARCH}"
