@@ -24,6 +24,6 @@ def query(sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from linkrank.plans import inventory, maintenance, operations, retrieval, suggestions, upkeep  # noqa: F401
+    from linkrank.plans import inventory, maintenance, operations, requests, retrieval, suggestions, upkeep  # noqa: F401
 
     return QUERIES, SQL

@@ -11,7 +11,7 @@ import json
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 2
@@ -214,3 +214,8 @@ def open_log(spark: SparkSession, root: str, identity: dict) -> tuple[DataFrame,
 
 def clear_log(spark: SparkSession, root: str) -> bool:
     return delete(spark, root)
+
+
+def sound_entry(sha256: Column, size: Column) -> Column:
+    """True for a manifest's entry that can be one: a SHA-256 in small letters, a size that isn't negative."""
+    return F.coalesce(sha256.rlike("^[a-f0-9]{64}$") & (size >= 0), F.lit(False))
