@@ -57,9 +57,15 @@ class Scratch:
         (df if rows is None else dealt(df, rows)).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self, number: int) -> None:
+        """Remove the table that was kept as the ``number``-th, from 1; nothing if there is none."""
+        self._remove(f"{self.folder}/{number}")
+
     def clear(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        self._remove(self.folder)
+
+    def _remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
