@@ -2,17 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and works on everything that its predecessor kept; ``run`` writes each result as
 Parquet and reads it again for the next stage. All stages but the last return the columns of ``documents``.
+
+Odd rows: null and empty texts fail the base rules; rows without an id are no near-duplicates of any and pass that stage; of equal ids all
+rows stay or go together, unless their texts differ in the rules; an empty table gives no rows; other columns stay, up to the last stage.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkrank.llm import bpe, decontaminate, line_frequency, near_dedup, pseudonyms
-from linkrank.llm.common import ensure_checkpoint_dir, read_table
+from linkrank.llm.common import Scratch, read_table
 from linkrank.llm.registry import PII_KEY, tokenizer_path
 
 
@@ -59,11 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. What a stage wrote is removed once the next one has written."""
+    scratch = Scratch(spark)
     docs = read_table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.forget(number)
     return docs
