@@ -132,5 +132,25 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.a = d.doc_id
 """
 
 
+def _crc_table() -> str:
+    """The 256 steps of crc32 for one byte, from its polynomial."""
+    steps = range(256)
+    for _ in range(8):
+        steps = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in steps]
+    return f"[{', '.join(map(str, steps))}]"
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, coalesce('=' || source, '') AS stratum, md5(concat_ws('|', '{sharding.SEED}', CAST(doc_id AS VARCHAR))) AS key FROM documents),
+     c AS (SELECT *, CAST(strlen(t) + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+                  lambda r, x: xor(r >> 8, CAST({_crc_table()}[(xor(r, x) & 255) + 1] AS BIGINT))), 4294967295) AS text_crc32 FROM d),
+     r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id, text_crc32, size) AS rank, count(*) OVER (PARTITION BY stratum) AS total,
+                  (CAST(CAST('0x' || substr(md5('{sharding.SEED}|source|' || stratum), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0 AS u FROM c),
+     p AS (SELECT *, row_number() OVER (ORDER BY (rank - u) / total, stratum, rank) - 1 AS place, count(*) OVER () AS n FROM r),
+     s AS (SELECT *, (place * {SHARDS} + {SHARDS - 1}) // n AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(place - (shard * n) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_near_dedup": OP6_SQL, "op2_line_frequency": OP2_SQL, "op10_decontamination": OP10_SQL}
+    return {"op6_near_dedup": OP6_SQL, "op9_sharding": OP9_SQL, "op2_line_frequency": OP2_SQL, "op10_decontamination": OP10_SQL}
