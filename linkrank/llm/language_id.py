@@ -70,18 +70,25 @@ def script_table() -> tuple[np.ndarray, list[str]]:
     return table, names
 
 
+def lowered(text: str | None) -> str:
+    """The text in lower case, character by character where that keeps its length, so that positions hold in the original."""
+    low = (text or "").lower()
+    return low if len(low) == len(text or "") else "".join([c.lower() if len(c.lower()) == 1 else c for c in text])
+
+
 class Words:
     """The words of some texts, as positions in one array of code points."""
 
     def __init__(self, texts: list[str | None]):
         table, _ = script_table()
-        joined = "\n".join([(t or "").lower() for t in texts]) + "\n"
+        texts = [lowered(t) for t in texts]
+        joined = "\n".join(texts) + "\n"
         self.points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = table[self.points]
         inside = np.concatenate(([False], kind > 0, [False]))
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edge[::2], edge[1::2]
-        lengths = np.array([len(t.lower()) if t else 0 for t in texts], np.int64)
+        lengths = np.array([len(t) for t in texts], np.int64)
         text_ends = np.cumsum(lengths + 1)
         self.script = np.zeros(len(starts), np.uint8)
         if len(starts):
@@ -244,7 +251,7 @@ def _transfer(scores: np.ndarray, start: np.ndarray, length: np.ndarray, penalty
 
 
 def label_texts(texts: list[str | None], model: Model) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-    """(language, score, spans) of each text; spans are (first character, end, language) in the lower-cased text."""
+    """(language, score, spans) of each text; spans are (first character, end, language) in the text."""
     out = []
     block, size = [], 0
     most = BLOCK_CHARS * BLOCK_LANGUAGES // max(BLOCK_LANGUAGES, len(model.languages))

@@ -50,6 +50,9 @@ def test_language_spans_and_odd_rows(spark, odd, none):
     mixed = f"{en} {de} {ru}"
     lang, score, spans = language_id.label_texts([mixed], model)[0]
     assert [s[2] for s in spans] == ["en", "de", "ru"] and 0 < score < 1
+    assert mixed[slice(*spans[2][:2])] == ru and mixed[spans[0][0]] == "t"
+    longer = "İ" * 20 + " " + ru  # a letter that is two in lower case
+    assert longer[slice(*language_id.label_texts([longer], model)[0][2][-1][:2])].endswith("реки")
     got = {r["doc_id"]: r for r in language_id.predict(odd, model).collect()}
     assert got[0]["lang_pred"] == got[1]["lang_pred"] == got[2]["lang_pred"] == "und" and got[3]["lang_pred"] == "en" and got[0]["score"] == 0
     assert language_id.predict(odd, model).count() == odd.count() and language_id.predict(none, model).count() == 0
