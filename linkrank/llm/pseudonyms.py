@@ -4,7 +4,7 @@ One pattern finds candidates; each is validated (check digits, ranges, calendar)
 image under a keyed permutation of all values of its format, so equal values get equal pseudonyms in every document,
 different ones stay different, and the result is valid itself. What does not validate stays as it is.
 
-Formats: payment card numbers (Luhn; the first digit stays, the check digit is made anew), IBANs (mod 97; country and
+Formats: payment card numbers (prefix and length of a network, Luhn; the first four digits stay, the check digit is made anew), IBANs (mod 97; country and
 letters stay, digits are permuted, check digits are made anew), telephone numbers (national digits are permuted,
 punctuation stays; without a country code, area and exchange start with 2 to 9 before and after), US social security numbers, IPv4 addresses, dates (ISO, dotted, slashed; permuted within their
 century, with the widths of day and month as written), e-mail addresses (all but the top-level domain; letters to letters, digits to digits), and secrets (long
@@ -45,6 +45,11 @@ IBAN = rf"(?<!\w)(?:(?:{_known})(?!\w)|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"
+#: Prefixes and lengths of the card networks; none depends on more than four digits.
+NETWORKS = (
+    r"^(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11,16}"
+    r"|35(?:2[89]|[3-8]\d)\d{12,15}|6(?:011|4[4-9]\d|5\d\d)\d{12,15}|62\d{14,17}|(?:5018|5020|5038|5893|6304|6759|676[1-3])\d{8,15})$"
+)
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w+])(?:1[ .-])?(?:\([2-9]\d{2}\) ?[2-9]\d{2}[ .-]\d{4}|[2-9]\d{2}-[2-9]\d{2}-\d{4}|[2-9]\d{2}\.[2-9]\d{2}\.\d{4}|[2-9]\d{2} [2-9]\d{2} \d{4})(?![\w-])"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])|(?<=(?i:token|secret|passwd|password|apikey|api_key|api-key|access_key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?)[A-Za-z0-9_+/-]{12,}+(?![A-Za-z0-9_+/-])"
 CANDIDATES = "|".join((EMAIL, SECRET, IBAN, IPV4, DATE, SSN, CARD, PHONE))
@@ -146,7 +151,7 @@ def mod97(text: Column) -> Column:
 def _card(m: Column, key: str) -> Column:
     d = _digits(m)
     n = F.char_length(d)
-    body = F.concat(F.substr(d, F.lit(1), F.lit(1)), permute_characters(F.substr(d, F.lit(2), n - 2), key, "card"))
+    body = F.concat(F.substr(d, F.lit(1), F.lit(4)), permute_characters(F.substr(d, F.lit(5), n - 5), key, "card"))
     return F.element_at(F.transform(F.array(body), lambda b: _refill(m, F.concat(b, ((F.lit(10) - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))), 1)
 
 
@@ -283,7 +288,7 @@ def kind_of(m: Column) -> Column:
         .when(whole(IPV4), F.when(octets, F.lit("ipv4")))
         .when(whole(DATE), F.when(_date_ok(m), F.lit("date")))
         .when(whole(SSN), F.when(_ssn_ok(m), F.lit("ssn")))
-        .when(whole(CARD), F.when((luhn_sum(d) % 10 == 0) & ~d.rlike("^0+$"), F.lit("card")))
+        .when(whole(CARD), F.when(d.rlike(NETWORKS) & (luhn_sum(d) % 10 == 0), F.lit("card")))
         .when(whole(IBAN) & _iban_ok(m), F.lit("iban"))
         .when(whole(PHONE), F.when(F.char_length(d).between(8, 15), F.lit("phone")))
         .when(m.rlike("[0-9]") & m.rlike("[A-Za-z]") & m.rlike("^[A-Za-z0-9_+/-]{12,}$"), F.lit("secret"))
