@@ -138,17 +138,23 @@ def body_scores(posting: DataFrame, terms: DataFrame) -> DataFrame:
     return met.join(totals, "query_id").select("query_id", "path", score.alias("body_score"), "labelled")
 
 
+def _looked_at(pairs: DataFrame, asked: DataFrame, fields: DataFrame) -> DataFrame:
+    """``pairs`` (query_id, path, ...) with the note's title, and more: whether a label begins with the anchor, or the title, which may be the
+    file's name, has one of its tokens."""
+    few = asked.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    x = pairs.join(F.broadcast(asked) if few else asked, "query_id").where("path <> source_path").join(fields.select("path", "title", "n_title", "n_aliases", "title_terms"), "path")
+    begins = (F.char_length("anchor") >= 3) & (F.startswith("n_title", F.col("anchor")) | F.exists("n_aliases", lambda al: F.startswith(al, F.col("anchor"))))
+    return x.select(*pairs.columns, "title", (begins | F.arrays_overlap("a", "title_terms")).alias("more"))
+
+
 def body_winners(body: DataFrame, asked: DataFrame, fields: DataFrame) -> DataFrame:
     """(query_id, path) of notes that a query meets by their body alone, as far as they can be among its best.
 
     What has no other signal is ranked by the body's score, so the first ``limit`` of them are enough: each task keeps as many, and
-    only these are shuffled. A label that begins with the anchor, or a title made of the file's name, is a signal of its own.
+    only these are shuffled.
     """
     most = asked.agg(F.max("limit")).first()[0] or 0
-    x = body.where("body_score > 0").join(F.broadcast(asked) if asked.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else asked, "query_id").where("path <> source_path")
-    x = x.join(fields.select("path", "title", "n_title", "n_aliases", "title_terms"), "path")
-    begins = (F.char_length("anchor") >= 3) & (F.startswith("n_title", F.col("anchor")) | F.exists("n_aliases", lambda al: F.startswith(al, F.col("anchor"))))
-    x = x.select("query_id", "path", "title", T.round_half_up(F.col("body_score"), 3).alias("s"), (begins | F.arrays_overlap("a", "title_terms")).alias("more"))
+    x = _looked_at(body.where("body_score > 0").select("query_id", "path", T.round_half_up(F.col("body_score"), 3).alias("s")), asked, fields)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc(), "title", "path"))
     return x.where("more").select("query_id", "path").unionByName(x.where("not more").withColumn("n", rank).where(F.col("n") <= most).select("query_id", "path"))
 
@@ -172,8 +178,11 @@ def search(notes: DataFrame, queries: DataFrame) -> DataFrame:
         F.max(F.when(F.col("field") == "heading", F.struct("sim", (-F.col("pos")).alias("p"), "text"))).alias("heading_best"),
     ).checkpoint()
     asked = live.select("query_id", "anchor", "source_path", "limit", "minimum_score", F.array_distinct(T.tokens(F.col("anchor_text"))).alias("a"))
-    named = body.where("labelled").select("query_id", "path").unionByName(exact).unionByName(gram_candidates(labels, live))
-    similar = best.select("query_id", "path").join(body.select("query_id", "path"), ["query_id", "path"], "left_semi")
+    # of pairs that share n-grams, those with a signal: a similar label, a label that begins with the anchor, a common token
+    close = gram_candidates(labels, live)
+    met = body.select("query_id", "path").unionByName(close)
+    similar = best.select("query_id", "path").join(met, ["query_id", "path"], "left_semi")
+    named = body.where("labelled").select("query_id", "path").unionByName(exact).unionByName(_looked_at(close, asked, fields).where("more").select("query_id", "path"))
     pairs = named.unionByName(similar).unionByName(body_winners(body.where("not labelled"), asked, fields)).distinct()
     x = pairs.join(asked, "query_id").where("path <> source_path")
     x = x.join(fields, "path").join(best, ["query_id", "path"], "left").join(body.drop("labelled"), ["query_id", "path"], "left")
