@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A driver-side object may be sent to the executors only up to this size; operators work in blocks beyond it.
-MAX_BROADCAST_BYTES = 32 << 20
 #: Rows and bytes of a batch that a Python worker is handed; a longer row comes alone.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 #: Rows of ids and hashes that are worth a task, and the fewest tasks of any step.
