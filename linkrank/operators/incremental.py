@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkrank.sources.snapshot import ensure_checkpoint_dir
+
 
 def normal_path(path: Column) -> Column:
     """Forward slashes, none at the ends, lower case."""
@@ -54,10 +56,14 @@ def changes(index: DataFrame, live: DataFrame, key: str = "path") -> DataFrame:
     return x.select(key, change.alias("change"))
 
 
-def dense_rows(df: DataFrame, order: list[str], name: str = "row", partitions: int | None = None) -> DataFrame:
-    """Number rows from 0 in ``order`` without bringing them together: ranges are counted, then numbered side by side."""
+def dense_rows(df: DataFrame, order: list[str | Column], name: str = "row", partitions: int | None = None) -> DataFrame:
+    """Number rows from 0 in ``order`` without bringing them together: ranges are counted, then numbered side by side.
+
+    The ranges come from a sample that each evaluation draws anew, so the dealt rows are written once: counted and numbered are the same ranges.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    placed = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
     counts = placed.groupBy("_p").agg(F.count("*").alias("_c"))
     before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))

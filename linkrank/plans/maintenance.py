@@ -83,8 +83,8 @@ def missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, row_number() OVER (ORDER BY vec_id DESC) - 1 AS row FROM embeddings")
 def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = tables.read(spark, sf_dir, "embeddings").select("vec_id", (-F.col("vec_id")).alias("k"))
-    return incremental.dense_rows(v, ["k"]).select("vec_id", "row")
+    v = tables.read(spark, sf_dir, "embeddings").select("vec_id")
+    return incremental.dense_rows(v, [F.col("vec_id").desc_nulls_last()]).select("vec_id", "row")
 
 
 STATES = """p AS (SELECT vec_id AS row, CASE WHEN vec_id % 9 = 0 THEN -1 ELSE label END AS document, embedding AS vector FROM embeddings WHERE vec_id % 11 <> 0),

@@ -83,6 +83,15 @@ def test_snapshots(spark):
         assert live == {r: d for r, d, _ in after if d >= 0}
 
 
+def test_dense_rows_of_sampled_ranges(spark):
+    # more rows than a sample of the ranges holds, and a column that only the numbered side reads
+    x = spark.range(0, 20000, 1, 2).select((F.col("id") * 7919 % 20000).alias("k"), F.col("id").cast("string").alias("more"))
+    got = incremental.dense_rows(x, ["k"], partitions=4).collect()
+    assert len(got) == 20000 and all(r["row"] == r["k"] for r in got)
+    down = incremental.dense_rows(x.unionByName(spark.sql("select cast(null as long) k, 'none' more")), [F.col("k").desc_nulls_last()], partitions=4).collect()
+    assert all(r["row"] == (20000 if r["k"] is None else 19999 - r["k"]) for r in down)
+
+
 def test_dense_rows_and_scope(spark):
     got = incremental.dense_rows(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")), ["k"], partitions=7).collect()
     assert all(r["row"] == r["k"] for r in got)
