@@ -6,7 +6,10 @@ import pytest
 import __spark_entry__ as entry
 
 ROWS = 6000
-TABLES = {"vector_rows": ("embeddings", "SELECT (i * 7919) % {n} AS vec_id, CAST(i % 10 AS INT) AS label FROM range({n}) r(i) UNION ALL SELECT NULL, 0")}
+TABLES = {
+    "padding_compare": ("documents", "SELECT (i * 7919) % {n} AS doc_id, CASE WHEN i % 50 <> 0 THEN repeat('water ', CAST((i * 31) % 97 AS INT)) END AS text FROM range({n}) r(i)"),
+    "vector_rows": ("embeddings", "SELECT (i * 7919) % {n} AS vec_id, CAST(i % 10 AS INT) AS label FROM range({n}) r(i) UNION ALL SELECT NULL, 0"),
+}
 
 
 @pytest.mark.parametrize("name", sorted(TABLES))
