@@ -324,6 +324,6 @@ def evaluation_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY lower(c_name), c_name) - 1 AS row FROM customer")
 def collated_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in the order of the collation, which for these letters and digits is that of lower case."""
+    """Names in the order of the collation, which for these letters and digits is that of lower case; equal names by key, none last."""
     c = tables.read(spark, sf_dir, "customer").select("c_custkey", F.collate("c_name", "UNICODE").alias("k"), "c_name")
-    return incremental.dense_rows(c, ["k", "c_name"]).select("c_custkey", "row")
+    return incremental.dense_rows(c, [F.col("k").asc_nulls_last(), "c_name", "c_custkey"]).select("c_custkey", "row")

@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 
 ROWS = 6000
 TABLES = {
+    "collated_order": ("customer", "SELECT i AS c_custkey, CASE WHEN i > 0 THEN 'Customer#' || lpad(CAST((i * 7919) % {n} AS VARCHAR), 9, '0') END AS c_name FROM range({n}) r(i)"),
     "padding_compare": ("documents", "SELECT (i * 7919) % {n} AS doc_id, CASE WHEN i % 50 <> 0 THEN repeat('water ', CAST((i * 31) % 97 AS INT)) END AS text FROM range({n}) r(i)"),
     "vector_rows": ("embeddings", "SELECT (i * 7919) % {n} AS vec_id, CAST(i % 10 AS INT) AS label FROM range({n}) r(i) UNION ALL SELECT NULL, 0"),
 }
