@@ -46,3 +46,7 @@ def test_pieces():
     work = np.array([5, matching.MATCHES * 2, 0, 1, 1])
     assert list(matching.pieces(work, 1)) == [(0, 1), (1, 2), (2, 5)] and list(matching.pieces(work[2:], matching.CELLS)) == [(0, 1), (1, 2), (2, 3)]
     assert list(matching.pieces(work[:0], 0)) == []
+
+
+def test_gram_candidates(spark, odd, monkeypatch):
+    assert unshuffled(agree(spark, odd, "lex_gram_candidates", monkeypatch))
