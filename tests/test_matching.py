@@ -50,3 +50,7 @@ def test_pieces():
 
 def test_gram_candidates(spark, odd, monkeypatch):
     assert unshuffled(agree(spark, odd, "lex_gram_candidates", monkeypatch))
+
+
+def test_body_score(spark, odd, monkeypatch):
+    assert unshuffled(agree(spark, odd, "lex_body_score", monkeypatch))
