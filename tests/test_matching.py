@@ -54,3 +54,7 @@ def test_gram_candidates(spark, odd, monkeypatch):
 
 def test_body_score(spark, odd, monkeypatch):
     assert unshuffled(agree(spark, odd, "lex_body_score", monkeypatch))
+
+
+def test_term_candidates(spark, odd, monkeypatch):
+    assert unshuffled(agree(spark, odd, "lex_term_candidates", monkeypatch))
