@@ -5,6 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from linkrank.operators import matching
@@ -58,3 +59,22 @@ def test_body_score(spark, odd, monkeypatch):
 
 def test_term_candidates(spark, odd, monkeypatch):
     assert unshuffled(agree(spark, odd, "lex_term_candidates", monkeypatch))
+
+
+def met(monkeypatch):
+    """What leaves the tasks of the searches that follow."""
+    seen, real = [], matching.map_blocks
+    monkeypatch.setattr(matching, "map_blocks", lambda *a: seen.append(real(*a)) or seen[-1])
+    return seen
+
+
+def only_winners(seen):
+    # at most as many rows of a query as it shows leave each task
+    most = seen.groupBy("query_id", F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("limit").alias("limit"))
+    return len(seen.head(1)) == 1 and most.where("n > `limit`").count() == 0
+
+
+def test_lexical_search(spark, odd, monkeypatch):
+    seen = met(monkeypatch)
+    agree(spark, odd, "lexical_search", monkeypatch)
+    assert only_winners(seen[0])
