@@ -78,3 +78,13 @@ def test_lexical_search(spark, odd, monkeypatch):
     seen = met(monkeypatch)
     agree(spark, odd, "lexical_search", monkeypatch)
     assert only_winners(seen[0])
+
+
+def test_hybrid_fusion(spark, odd, monkeypatch):
+    rng = np.random.default_rng(5)
+    odd[1].execute("CREATE OR REPLACE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INT)")
+    odd[1].executemany("INSERT INTO embeddings VALUES (?, ?, ?)", [(i, rng.normal(size=8).tolist(), int(i % 7)) for (i,) in odd[1].execute("SELECT doc_id FROM documents ORDER BY doc_id").fetchall()])
+    odd[1].execute(f"COPY embeddings TO '{odd[0]}/embeddings.parquet'")
+    seen = met(monkeypatch)
+    agree(spark, odd, "hybrid_fusion", monkeypatch)
+    assert only_winners(seen[0])
