@@ -88,3 +88,9 @@ def test_hybrid_fusion(spark, odd, monkeypatch):
     seen = met(monkeypatch)
     agree(spark, odd, "hybrid_fusion", monkeypatch)
     assert only_winners(seen[0])
+
+
+def test_suggestions(spark, odd, monkeypatch):
+    seen = met(monkeypatch)
+    found = entry.queries()["suggestions"](spark, odd[0])
+    assert 0 < found.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 6 and only_winners(seen[0])
