@@ -21,12 +21,13 @@ def bucket(tokens: Column, width: int = BUCKET_WIDTH) -> Column:
 def batch_plan(inputs: DataFrame, width: int = BUCKET_WIDTH, size: int = BATCH_SIZE) -> DataFrame:
     """(bucket, batch, id, tokens): rows (id, tokens, position) of a bucket, shortest first, cut into batches.
 
-    Ranks are found in sub-ranges of one token length each, so a bucket that holds most rows is not sorted in one task.
+    Ranks are found in sub-ranges of one token length each, so a bucket that holds most rows is not sorted in one task. Rows without a position come last.
     """
-    x = inputs.withColumn("bucket", bucket(F.col("tokens"), width)).withColumn("piece", F.pmod(F.floor(F.col("position") / 4096), F.lit(1 << 30)))
+    # far above every other sub-range, since a null would meet nothing in the join
+    x = inputs.withColumn("bucket", bucket(F.col("tokens"), width)).withColumn("piece", F.coalesce(F.floor(F.col("position") / 4096), F.lit(1 << 62)))
     counts = x.groupBy("bucket", "tokens", "piece").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("bucket").orderBy("tokens", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("bucket", "tokens", "piece").orderBy("position"))
+    inside = F.row_number().over(Window.partitionBy("bucket", "tokens", "piece").orderBy(F.col("position").asc_nulls_last()))
     placed = x.join(counts.select("bucket", "tokens", "piece", before.alias("before")), ["bucket", "tokens", "piece"]).withColumn("place", F.col("before") + inside - 1)
     return placed.select("bucket", F.floor(F.col("place") / size).alias("batch"), "id", "tokens")
 

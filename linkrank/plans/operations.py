@@ -39,8 +39,8 @@ def padding_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkrank.operators.incremental import dense_rows
 
     x = _estimates(spark, sf_dir)
-    stats = planner.batch_stats(planner.batch_plan(x)).agg(F.sum("inputs").alias("inputs"), F.sum("total_tokens").alias("tokens"), F.count("*").alias("batches"), F.countDistinct("bucket").alias("buckets"), F.sum("padded_tokens").alias("bucketed_padded"))
-    fixed = dense_rows(x, ["position"]).groupBy(F.floor(F.col("row") / planner.BATCH_SIZE)).agg((F.max("tokens") * F.count("*")).alias("p")).agg(F.sum("p").alias("fixed_padded"))
+    stats = planner.batch_stats(planner.batch_plan(x)).agg(F.coalesce(F.sum("inputs"), F.lit(0)).alias("inputs"), F.sum("total_tokens").alias("tokens"), F.count("*").alias("batches"), F.countDistinct("bucket").alias("buckets"), F.sum("padded_tokens").alias("bucketed_padded"))
+    fixed = dense_rows(x, [F.col("position").asc_nulls_last()]).groupBy(F.floor(F.col("row") / planner.BATCH_SIZE)).agg((F.max("tokens") * F.count("*")).alias("p")).agg(F.sum("p").alias("fixed_padded"))
     return stats.crossJoin(F.broadcast(fixed))
 
 
