@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,38 @@ def test_suggestions(spark, odd, monkeypatch):
     seen = met(monkeypatch)
     found = entry.queries()["suggestions"](spark, odd[0])
     assert 0 < found.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 6 and only_winners(seen[0])
+
+
+def test_packed_tokens():
+    row, token, count = np.array([0, 0, 2, 2, 2]), np.array([3, 200, 0, 1, 1 << 40]), np.array([0, 5000, 1, 127, 128])
+    items = matching.packed(row, token, count, 4)
+    assert [len(x) for x in items.to_pylist()] == [6, 0, 12, 0]
+    apart = pa.ListArray.from_arrays(pa.array([0, 1, 2, 3, 4], pa.int32()), items)
+    assert all((x == y).all() for x, y in zip(matching.unpacked(apart), (row, token, count)))
+    assert [x.tolist() for x in matching.unpacked(apart.slice(1, 2))] == [[1, 1, 1], [0, 1, 1 << 40], [1, 127, 128]]
+    twice = pa.ListArray.from_arrays(pa.array([0, 0, 3, 4], pa.int32()), items.take(pa.array([2, 1, 2, 0])))
+    assert [x.tolist() for x in matching.unpacked(twice)] == [[1, 1, 1, 2, 2], [0, 1, 1 << 40, 3, 200], [2, 254, 256, 0, 5000]]
+    assert all(len(x) == 0 for x in matching.unpacked(apart.slice(1, 1)))
+
+
+@pytest.fixture(scope="module")
+def shared(odd, tmp_path_factory):
+    """The same documents, of which some share their path, or have none."""
+    folder, db = tmp_path_factory.mktemp("shared"), duckdb.connect()
+    db.execute(f"CREATE TABLE documents AS SELECT * REPLACE (CASE WHEN doc_id % 100 > 0 AND doc_id % 7 = 0 THEN doc_id - doc_id % 14 + 1 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 11 <> 0 THEN source END AS source) FROM '{odd[0]}/documents.parquet'")
+    db.execute(f"COPY documents TO '{folder}/documents.parquet'")
+    return str(folder), db
+
+
+@pytest.mark.parametrize("name", ["lex_body_score"])
+def test_shared_paths(spark, shared, name, monkeypatch):
+    assert shared[1].execute("SELECT count(*) - count(DISTINCT source || doc_id) FROM documents").fetchone()[0] > 40
+    agree(spark, shared, name, monkeypatch)
+
+
+@pytest.mark.parametrize("name", ["lex_body_score"])
+def test_notes_stay_where_they_are_read(spark, odd, name, monkeypatch):
+    # neither the notes' terms nor their fields are dealt out again before they meet the queries
+    seen = met(monkeypatch)
+    entry.queries()[name](spark, odd[0])
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
