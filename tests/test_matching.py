@@ -118,13 +118,13 @@ def shared(odd, tmp_path_factory):
     return str(folder), db
 
 
-@pytest.mark.parametrize("name", ["lex_body_score"])
+@pytest.mark.parametrize("name", ["lex_body_score", "lex_term_candidates"])
 def test_shared_paths(spark, shared, name, monkeypatch):
     assert shared[1].execute("SELECT count(*) - count(DISTINCT source || doc_id) FROM documents").fetchone()[0] > 40
     agree(spark, shared, name, monkeypatch)
 
 
-@pytest.mark.parametrize("name", ["lex_body_score"])
+@pytest.mark.parametrize("name", ["lex_term_candidates", "lex_body_score"])
 def test_notes_stay_where_they_are_read(spark, odd, name, monkeypatch):
     # neither the notes' terms nor their fields are dealt out again before they meet the queries
     seen = met(monkeypatch)
