@@ -124,7 +124,7 @@ def test_shared_paths(spark, shared, name, monkeypatch):
     agree(spark, shared, name, monkeypatch)
 
 
-@pytest.mark.parametrize("name", ["lex_term_candidates", "lex_body_score"])
+@pytest.mark.parametrize("name", ["lex_term_candidates", "lex_body_score", "lexical_search"])
 def test_notes_stay_where_they_are_read(spark, odd, name, monkeypatch):
     # neither the notes' terms nor their fields are dealt out again before they meet the queries
     seen = met(monkeypatch)
