@@ -118,7 +118,7 @@ def shared(odd, tmp_path_factory):
     return str(folder), db
 
 
-@pytest.mark.parametrize("name", ["lex_body_score", "lex_term_candidates"])
+@pytest.mark.parametrize("name", ["lex_body_score", "lex_gram_candidates", "lex_term_candidates"])
 def test_shared_paths(spark, shared, name, monkeypatch):
     assert shared[1].execute("SELECT count(*) - count(DISTINCT source || doc_id) FROM documents").fetchone()[0] > 40
     agree(spark, shared, name, monkeypatch)
