@@ -16,6 +16,8 @@ from linkrank.sources.snapshot import ensure_checkpoint_dir
 TOP = 40
 #: Queries are sent to the executors in blocks of at most this many bytes.
 BLOCK_BYTES = 16 << 20
+#: Scores that a task holds at once.
+CELLS = 1 << 20
 DIGITS = 9
 
 
@@ -55,17 +57,16 @@ def _best(vectors: DataFrame, block: dict[int, tuple[np.ndarray, np.ndarray]], k
             chunk, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             sizes = values.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
             for n, (ids, m) in shared.value.items():
-                fit = np.flatnonzero(sizes == n)
-                if not len(fit):
-                    continue
-                flat = values.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1)
-                s = np.floor((m @ flat.T) * 10**DIGITS + 0.5) / 10**DIGITS
-                i = np.broadcast_to(chunk[fit], s.shape)
-                if exclude_self:
-                    s = np.where(i == ids[:, None], -np.inf, s)
-                s, i = np.concatenate([best[n][0], s], axis=1), np.concatenate([best[n][1], i], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best[n] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                every, step = np.flatnonzero(sizes == n), max(k, CELLS // max(1, len(ids)))
+                for fit in (every[at : at + step] for at in range(0, len(every), step)):
+                    flat = values.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1)
+                    s = np.floor((m @ flat.T) * 10**DIGITS + 0.5) / 10**DIGITS
+                    i = np.broadcast_to(chunk[fit], s.shape)
+                    if exclude_self:
+                        s = np.where(i == ids[:, None], -np.inf, s)
+                    s, i = np.concatenate([best[n][0], s], axis=1), np.concatenate([best[n][1], i], axis=1)
+                    order = np.lexsort((i, -s), axis=1)[:, :k]
+                    best[n] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
         for n, (s, i) in best.items():
             if s.shape[1]:
                 keep = np.isfinite(s).ravel()

@@ -1,6 +1,8 @@
 """Queries that meet notes inside a task: the pairs of SQL on short, empty and repeated texts, whatever the blocks and pieces, and no pair shuffled."""
 
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from linkrank.operators import matching
+from linkrank.operators import matching, vectors
 
 WORDS = ("a", "ab", "abc", "abcd", "abab", "ababa", "the", "water", "watering", "sea", "7", "é", "12", "cab", "bcd")
 
@@ -130,3 +132,28 @@ def test_notes_stay_where_they_are_read(spark, odd, name, monkeypatch):
     seen = met(monkeypatch)
     entry.queries()[name](spark, odd[0])
     assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_in_pieces():
+    """Many queries against a large batch: few scores are held at once, and the best are those of brute force."""
+    asked, rows = 1000, 12000
+    rng = np.random.default_rng(9)
+    m, v = rng.integers(-3, 4, (asked, 4)).astype(float), rng.integers(-3, 4, (rows, 4)).astype(np.float32)
+    frame = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))), mapInArrow=lambda run, schema: run)
+    frame.select = lambda *a: frame
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(vectors, "F", SimpleNamespace(col=lambda c: SimpleNamespace(cast=lambda kind: c)))
+        run = vectors._best(frame, {4: (np.arange(asked), m)}, 5, True)
+    batch = pa.record_batch([pa.array(np.arange(rows)), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * 4, pa.int32()), pa.array(v.ravel()))], ["chunk_id", "vector"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(run(iter([batch])))).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and len(found["query_id"]) == asked * 5
+    got = {}
+    for q, c in zip(found["query_id"], found["chunk_id"]):
+        got.setdefault(q, []).append(c)
+    for q in range(0, asked, 97):
+        score = v.astype(float) @ m[q]
+        score[q] = -np.inf
+        assert got[q] == np.lexsort((np.arange(rows), -score))[:5].tolist()
