@@ -2,6 +2,7 @@
 
 import random
 import tracemalloc
+from pathlib import Path
 from types import SimpleNamespace
 
 import duckdb
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from linkrank.operators import matching, vectors
+from linkrank.sources.snapshot import ensure_checkpoint_dir
 
 WORDS = ("a", "ab", "abc", "abcd", "abab", "ababa", "the", "water", "watering", "sea", "7", "é", "12", "cab", "bcd")
 
@@ -134,6 +136,23 @@ def test_notes_stay_where_they_are_read(spark, odd, name, monkeypatch):
     assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("together", [1, 8])
+def test_term_candidates_of_many_files(spark, odd, tmp_path, monkeypatch, together):
+    # pairs without a score need one look at the notes where they are read: their terms are written nowhere, unless there are too many queries
+    for i in range(8):
+        odd[1].execute(f"COPY (SELECT * FROM documents WHERE doc_id % 8 = {i}) TO '{tmp_path}/{i}.parquet'")
+    (tmp_path / "documents.parquet").mkdir()
+    for i in range(8):
+        (tmp_path / f"{i}.parquet").rename(tmp_path / f"documents.parquet/{i}.parquet")
+    monkeypatch.setattr(matching, "TOGETHER", together, raising=False)
+    ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.rglob("*"))
+    plan = agree(spark, (str(tmp_path), odd[1]), "lex_term_candidates", monkeypatch)
+    kept = set(folder.rglob("*")) != before
+    assert unshuffled(plan) and kept == (together == 1)
+
+
 def test_vectors_in_pieces():
     """Many queries against a large batch: few scores are held at once, and the best are those of brute force."""
     asked, rows = 1000, 12000
