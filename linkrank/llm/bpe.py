@@ -18,9 +18,12 @@ import hashlib
 import heapq
 import json
 import re
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -28,7 +31,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from linkrank.llm.common import map_arrow
 
 WORD_END = "</w>"
-#: Entries that each cache of a worker may hold.
+#: Entries that a worker's cache of fragments may hold; those of chunks and words hold as many recent ones, and as many older.
 CACHE_ENTRIES = 120_000
 #: The same for caches of numbers, whose entries are small.
 CACHE_COUNTS = 400_000
@@ -47,6 +50,26 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class RecentCache:
+    """Entries at hand (``now``). Once there are more than ``most``, they become the older ones, which are kept until the next such turn unless used."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.older = most, {}, {}
+
+    def turn(self) -> None:
+        """Make room, between batches."""
+        if len(self.now) > self.most:
+            self.now, self.older = {}, self.now
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys without an entry; entries of all others are at hand until the next turn."""
+        older = self.older
+        absent = keys.difference(self.now)
+        new = absent.difference(older)
+        self.now.update([(k, older[k]) for k in absent.difference(new)])
+        return new
+
+
 class ForcedBoundaryEncoder:
     """Encodes texts with a byte-level BPE file whose words end in ``</w>``."""
 
@@ -62,22 +85,29 @@ class ForcedBoundaryEncoder:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.items()}
         self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
+        steps = [x["type"] for x in spec["normalizer"].get("normalizers", [spec["normalizer"]])]
+        self.lowers = steps in (["NFC", "Replace", "Lowercase"], ["Lowercase"])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}")).findall
+        before, _, _ = split["pattern"]["Regex"].partition(r"|[\p{L}]+|")
+        self.letters_are_words = before != split["pattern"]["Regex"] and all(x.startswith("'") for x in before.split("|"))
         by_length = sorted(self.specials, key=len, reverse=True)
         self.cut_specials = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")").split if by_length else None
         self.special_mark = by_length[0][:2] if by_length else ""
         self.inside = self._pairs_inside_tokens()
         self.inside_bytes = self._as_bytes(self.inside)
-        self.bulk = Tokenizer(models.BPE(vocab=self.vocab, merges=list(self.ranks), end_of_word_suffix=WORD_END))
+        self.bulk = Tokenizer(models.BPE(vocab=self.vocab, merges=list(self.ranks), end_of_word_suffix=WORD_END, cache_capacity=0))
         self.bulk.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         top = max(self.tokens) + 1
         self.id_text, self.id_token = [str(i) for i in range(top)], [self.tokens.get(i, "") for i in range(top)]
-        self.chunk_cache: dict[str, tuple[str, str, int]] = {}
+        self.id_names, self.token_names = pa.array(self.id_text), pa.array(self.id_token)
+        self.chunk_cache = RecentCache(CACHE_ENTRIES)
+        self.ends_word = np.array([t.endswith(WORD_END) for t in self.id_token])
+        self.void = False  # whether a chunk without tokens was seen
         self.chunk_counts: dict[str, int] = {}
         self.word_counts: dict[str, int] = {}
         self.fragment_cache: dict[tuple[str, bool], tuple[int, ...]] = {}
-        self.word_cache: dict[str, tuple[str, str, int]] = {}
+        self.word_cache = RecentCache(CACHE_ENTRIES)
 
     def _pairs_inside_tokens(self) -> set[str]:
         inside: set[str] = set()
@@ -193,27 +223,38 @@ class ForcedBoundaryEncoder:
         in_parts = set(of[:-1][cut].tolist())
         return [w for i, w in enumerate(words) if i not in in_parts and len(w) <= CACHE_WORD_CHARS and w not in self.specials]
 
+    def _in_bulk(self, whole: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each word has: its last token, and no other, ends a word."""
+        ids = np.array(self.bulk.encode_batch_fast([" ".join(whole)], add_special_tokens=False)[0].ids, np.int64)
+        return ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+
     def _learn_words(self, words: list[str]) -> None:
         """Fill the word cache: words without a certain cut in bulk, others fragment by fragment."""
         whole = self._without_cuts(words)
         if whole:
-            enc = self.bulk.encode(" ".join(whole), add_special_tokens=False)
-            ids, of = enc.ids, np.array(enc.word_ids)
-            ends = [*(np.flatnonzero(np.diff(of)) + 1).tolist(), len(ids)]
-            start, text, token, cache = 0, self.id_text, self.id_token, self.word_cache
-            for word, end in zip(whole, ends, strict=True):
-                own = ids[start:end]
-                cache[word] = (" ".join([text[i] for i in own]), " ".join([token[i] for i in own]), end - start)
-                start = end
+            ids, n = self._in_bulk(whole)
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            joined = [pc.binary_join(pa.ListArray.from_arrays(ends, names.take(pa.array(ids))), " ").to_pylist() for names in (self.id_names, self.token_names)]
+            self.word_cache.now.update(zip(whole, zip(*joined, n.tolist()), strict=True))
+        known = self.word_cache.now
         for word in words:
-            if word not in self.word_cache:
+            if word not in known:
                 ids = [self.specials[word]] if word in self.specials else self.word_ids(word)
-                self.word_cache[word] = (" ".join([self.id_text[i] for i in ids]), " ".join([self.id_token[i] for i in ids]), len(ids))
+                known[word] = (" ".join([self.id_text[i] for i in ids]), " ".join([self.id_token[i] for i in ids]), len(ids))
 
     def _words_by_chunk(self, chunks: set[str]) -> dict[str, list[str]]:
         plain = [c for c in chunks if not (self.special_mark and self.special_mark in c)]
-        normal = self.normalize(" ".join(plain)).split(" ") if plain else []
-        return {c: self.words(n) for c, n in zip(plain, normal, strict=True)} | {c: self._words_of(c) for c in chunks.difference(plain)}
+        # to lower case is all that the rules do to ASCII, in which a chunk has no white space
+        ascii_ = [c for c in plain if c.isascii()] if self.lowers else []
+        other = [c for c in plain if not c.isascii()] if ascii_ else plain
+        out = {c: self._words_of(c) for c in chunks.difference(plain)}
+        words, whole = self.words, self.letters_are_words
+        for some, normalize in ((ascii_, str.lower), (other, self.normalize)):
+            if some:
+                normal = normalize(" ".join(some)).split(" ")
+                # letters up to this one are the same in every version of Unicode
+                out.update([(c, [n] if whole and n.isalpha() and (n.isascii() or max(n) < "\u0250") else words(n)) for c, n in zip(some, normal, strict=True)])
+        return out
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """Number of tokens of each text; as :meth:`batch`, without the tokens."""
@@ -229,8 +270,7 @@ class ForcedBoundaryEncoder:
             fresh = list({w for ws in words.values() for w in ws}.difference(known))
             if fresh:
                 if whole := self._without_cuts(fresh):
-                    found = self.bulk.encode(" ".join(whole), add_special_tokens=False).word_ids
-                    known.update(zip(whole, np.bincount(np.array(found), minlength=len(whole)).tolist(), strict=True))
+                    known.update(zip(whole, self._in_bulk(whole)[1].tolist(), strict=True))
                 for w in fresh:
                     if w not in known:
                         known[w] = 1 if w in self.specials else len(self.word_ids(w))
@@ -241,25 +281,28 @@ class ForcedBoundaryEncoder:
 
     def batch(self, texts: list[str | None]) -> list[list[tuple[str, str, int]]]:
         """For each text, (ids in decimal, decoded tokens, number of tokens) of each of its chunks."""
-        cache = self.chunk_cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        if len(self.word_cache) > CACHE_ENTRIES:
-            self.word_cache.clear()
+        self.chunk_cache.turn()
+        self.word_cache.turn()
+        cache, known = self.chunk_cache.now, self.word_cache.now
         split = [self.chunks(t) for t in texts]
-        missing = {c for chunks in split for c in chunks if c not in cache}
+        missing = self.chunk_cache.missing(set(chain.from_iterable(split)))
         if missing:
             words = self._words_by_chunk(missing)
-            if fresh := [w for w in {w for ws in words.values() for w in ws} if w not in self.word_cache]:
-                self._learn_words(fresh)
-            known = self.word_cache
+            if fresh := self.word_cache.missing(set(chain.from_iterable(words.values()))):
+                self._learn_words(list(fresh))
             for chunk, ws in words.items():
                 if len(ws) == 1:
                     cache[chunk] = known[ws[0]]
+                elif len(ws) == 2:
+                    (i, t, n), (j, u, m) = known[ws[0]], known[ws[1]]
+                    cache[chunk] = (f"{i} {j}", f"{t} {u}", n + m)
                 else:
                     got = [known[w] for w in ws]
                     cache[chunk] = (" ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got]))
-        return [[g for c in chunks if (g := cache[c])[2]] for chunks in split]
+                    self.void |= not ws
+        get = cache.__getitem__
+        found = [list(map(get, chunks)) for chunks in split]
+        return [[g for g in got if g[2]] for got in found] if self.void else found
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, _, _ in self.batch([text])[0] for i in ids.split(" ")]
@@ -269,8 +312,8 @@ class ForcedBoundaryEncoder:
 
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of tokens, SHA-256 of the ids, SHA-256 of the decoded text, for each text."""
-        sha = hashlib.sha256
-        return [(sum([g[2] for g in got]), sha(" ".join([g[0] for g in got]).encode()).hexdigest(), sha(" ".join([g[1] for g in got]).encode()).hexdigest()) for got in self.batch(texts)]
+        sha, (ids, tokens, n) = hashlib.sha256, map(itemgetter, range(3))
+        return [(sum(map(n, got)), sha(" ".join(map(ids, got)).encode()).hexdigest(), sha(" ".join(map(tokens, got)).encode()).hexdigest()) for got in self.batch(texts)]
 
 
 _encoders: dict[str, ForcedBoundaryEncoder] = {}

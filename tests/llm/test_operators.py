@@ -736,3 +736,18 @@ def test_windows_against_brute_force(spark, odd, none, monkeypatch):
     spans = decontaminate.find_spans(spark.createDataFrame([(1, "é Ééé! The QUICK brown.")], "doc_id long, text string"), spark.createDataFrame([(1, "the quick Brown")], "item_id long, text string"))
     s = next(spans).first()["spans"][0]
     assert "é Ééé! The QUICK brown."[s["start"] : s["end"]] == "The QUICK brown"
+
+
+def test_bpe_words_in_use_are_learned_once(monkeypatch):
+    # words that come back outlast any number of others, and all texts are encoded as the library does
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 60)
+    path = registry.tokenizer_path()
+    enc, whole, learned = bpe.ForcedBoundaryEncoder(path), Tokenizer.from_file(path), []
+    real = enc._learn_words
+    enc._learn_words = lambda words: learned.extend(words) or real(words)
+    often = ["water", "don't", "Éte", "étés", "ªǅİ", "x1,", "ɐͰα", "a\x1cb", "sea,", "<|endoftext|>", "Kﬁ", "***", "ẞⅧ"]
+    for i in range(40):
+        texts = [" ".join(often), "\t".join(chr(97 + i % 26) * 3 + chr(97 + j) + chr(0xC0 + i) for j in range(26)), chr(0xA0 + 16 * i), "", None]
+        for text, ids in zip(texts, [[int(x) for g in got for x in g[0].split(" ")] for got in enc.batch(texts)], strict=True):
+            assert ids == whole.encode(text or "", add_special_tokens=False).ids
+    assert len(learned) > 500 and all(learned.count(w) == 1 for w in ("water", "sea", "***", "don"))
